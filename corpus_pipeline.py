@@ -1,10 +1,65 @@
-"""The corpus pipeline (stages follow)."""
+"""The corpus pipeline: language ID, line dedup, near-duplicate join, decontamination, tokenisation.
+
+Every stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its output is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from lectern.llm import op1_lines, op3_language, op5_jaccard, op9_bpe, op10_decontaminate
+from lectern.llm.textkit import shared_dir
+
+#: The least score with which a document's language counts as determined.
+LANGUAGE_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents whose language is determined."""
+    return op3_language.identified(docs, op3_language.learn(docs), LANGUAGE_SCORE)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes boilerplate lines from the texts; keeps every document."""
+    return op1_lines.without_boilerplate(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near duplicates."""
+    return op5_jaccard.one_of_each(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold passages of the benchmark."""
+    return op10_decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, digests of ids and decoding, and the token ids of every document."""
+    return op9_bpe.encode(docs, op9_bpe.vocabulary())
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("jaccard_join", jaccard_join),
+    ("decontamination", decontamination),
+    ("bpe", tokenise),
+]
+
+#: SQL can't express the learned, probabilistic and merging stages; tests hold them against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table, each written to the shared folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    for k, (name, stage) in enumerate(STAGES):
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{folder}/{k}-{name}")
+        docs = spark.read.schema(made.schema).parquet(f"{folder}/{k}-{name}")
+    return docs

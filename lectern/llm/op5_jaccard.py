@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 from lectern.llm.components import components, local_roots
 from lectern.llm.textkit import FOLD, column_bytes, row_chunks, stored
 
-SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-6
+SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, STEP = 20, 4, 16
 HASHES = BANDS * ROWS
 #: Members of a bucket in one block; texts and bytes of shingles of a component in one block; pairs compared at once.

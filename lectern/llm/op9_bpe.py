@@ -187,10 +187,13 @@ def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, out)
 
 
+def vocabulary() -> str:
+    """The place of the public word-level vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 def query(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """op9 over the whole documents table."""
-    if path is None:
-        import public_tokenizers
-
-        path = public_tokenizers.path("word_bpe_49k.json")
-    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path, ids=False)
+    return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), path or vocabulary(), ids=False)

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from lectern.llm import op3_language, op5_jaccard, op9_bpe, op10_decontaminate
+from lectern.llm import op1_lines, op3_language, op5_jaccard, op9_bpe, op10_decontaminate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_lines": op1_lines.query,
     "op3_language": op3_language.query,
     "op5_jaccard": op5_jaccard.query,
     "op9_bpe": op9_bpe.query,
     "op10_decontaminate": op10_decontaminate.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op1_lines": op1_lines.ORACLE}
