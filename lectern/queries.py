@@ -6,5 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+from lectern.plans import plan_queries, text_queries
+
+_GROUPS = (plan_queries, text_queries)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for group in _GROUPS for name, f in group.QUERIES.items()}
+ORACLE: dict[str, str] = {name: sql for group in _GROUPS for name, sql in group.ORACLE.items()}
