@@ -17,13 +17,18 @@ rows each keep a row and count as documents; without co-occurrence only base spa
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm.textkit import stored
 
 #: Characters on either side of an entity that are its context; documents a pair needs; degree that discloses.
-REACH, SUPPORT, DISCLOSURE = 1000, 3, 0.95
+REACH, SUPPORT, DISCLOSURE = 200, 3, 0.95
+#: Disclosing terms that are broadcast to find their documents; a larger set is joined by shuffling.
+BROADCAST_TERMS = 100_000
 KINDS = ("email", "ip", "card", "phone")
 #: Linear forms of the contract's patterns: possessive, and begun only where a run of local characters begins or
 #: the last match ended, since a run that fails from its start fails from everywhere within.
@@ -58,8 +63,9 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _matches(text: Column, pattern: str, rank: int, kind: str) -> Column:
-    """Array of (start, rank, end, kind, value): a match's start is the pieces and matches before it, summed."""
+def _matches(text: Column, pattern: str, rank: int, kind: str, keep: Callable[[Column], Column]) -> Column:
+    """Array of (start, rank, end, kind, value) of the matches to keep: a match's start is the pieces and matches
+    before it, summed. The fold carries a number for most matches and grows the array for the kept ones alone."""
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
@@ -68,16 +74,12 @@ def _matches(text: Column, pattern: str, rank: int, kind: str) -> Column:
         start = state["at"] + F.length(pair["gap"])
         end = start + F.length(pair["value"])
         span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(span)).alias("out"))
+        return F.struct(end.alias("at"), F.when(keep(pair["value"]), F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
 
     pairs = F.zip_with(values, F.slice(gaps, F.lit(1), F.size(values)), lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
     return F.when(F.size(values) > 0, F.aggregate(pairs, zero, step, lambda s: s["out"])).otherwise(empty)
 
 
-def _valid_only(spans: Column, kind: str) -> Column:
-    return F.filter(spans, lambda s: _valid(kind, s["value"]))
-
-
 def _count(spans: Column, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
 
@@ -88,7 +90,7 @@ def base_spans(text: Column) -> Column:
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
     found = []
     for rank, kind in enumerate(KINDS):
-        spans = _valid_only(_matches(text, PATTERNS[kind], rank, kind), kind)
+        spans = _matches(text, PATTERNS[kind], rank, kind, partial(_valid, kind))
         found.append(F.when(need[kind], spans).otherwise(empty))
     return F.array_sort(F.concat(*found))
 
@@ -118,7 +120,7 @@ def disclosing_terms(found: DataFrame, words: DataFrame, total: int, support: in
     pairs = held.select("entity", F.explode(F.array_distinct(F.flatten(F.transform(around, near)))).alias("term"))
     pairs = pairs.where(F.length("term") > 2).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
     pairs = stored(pairs.join(known, "entity"), "pairs")
-    counted = words.join(pairs.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # added up within tasks first, then met with the pairs
     whole = F.lit(float(total))
     pmi = F.log(whole * F.col("n_et") / (F.col("n_e") * F.col("n_t").cast("double")))
     degree = pmi / F.log(whole / F.col("n_e"))
@@ -134,14 +136,16 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCL
     found = rows.withColumn("spans", base_spans(F.col("text")))
     total = docs.count()
     word_array = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD), F.lit(0)))
-    words = rows.select("doc_id", "tid", F.explode(word_array).alias("term"))
+    words = rows.select("tid", F.explode(word_array).alias("term")).where(F.length("term") > 2)
     kept = stored(found.where(F.size("spans") > 0).select("text", "spans"), "entities")
     terms = stored(disclosing_terms(kept, words, total, support, disclosure), "terms")
-    held = words.join(terms, "term", "left_semi").groupBy("tid").agg(F.collect_set("term").alias("terms"))
-    joined = found.join(held, "tid", "left") if not terms.isEmpty() else found.withColumn("terms", F.array().cast("array<string>"))
+    many = terms.count()
+    held = words.join(F.broadcast(terms) if many <= BROADCAST_TERMS else terms, "term", "left_semi").groupBy("tid").agg(F.collect_set("term").alias("terms"))
+    joined = found.join(held, "tid", "left") if many else found.withColumn("terms", F.array().cast("array<string>"))
     base = F.col("spans")
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    own = F.filter(_matches(F.col("text"), WORD, len(KINDS), "term"), lambda s: F.array_contains(F.col("terms"), F.lower(s["value"])) & free(s))
+    named = _matches(F.col("text"), WORD, len(KINDS), "term", lambda v: F.array_contains(F.col("terms"), F.lower(v)))
+    own = F.filter(named, free)
     more = F.when(F.size("terms") > 0, own).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
     return joined.withColumn("spans_found", F.array_sort(F.concat(base, more)))
 
