@@ -9,7 +9,7 @@ A record is STRIDE bytes: slot, doc_id (little-endian signed 64 bits), sequence
 ids, and a line feed that the writer adds. A shard's first slot and a slot's offset are therefore arithmetic, and
 a reader can start anywhere. Files go through Spark's own writer, so any store and a lost executor are handled.
 
-The input must be read the same way twice, as files are; write any other frame first (textkit.stored).
+Records are shuffled deflated and written whole. The input must be read the same way twice, as files are; write any other frame first (textkit.stored).
 
 Defined results: a null text has no sequence, an empty one has one that only ends; a null doc_id is written as
 the least 64-bit number and read back as null; repeated rows each have their sequences; an empty table has no
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.textkit import column_bytes, row_chunks, shared_dir
+from lectern.llm.textkit import column_bytes, row_chunks, shared_dir, small_batches
 
 STRIDE, HEAD = 512, 22
 TOKENS = STRIDE - HEAD - 1
@@ -73,9 +74,19 @@ class Permutation:
         return self._walk(slots, True)
 
 
+def _packed(record: bytes) -> bytes:
+    """A record as it is shuffled: head, and deflated ids without padding."""
+    return record[:HEAD] + zlib.compress(record[HEAD:].rstrip(bytes([PAD])), 6, -15)
+
+
+def _unpacked(record: bytes) -> bytes:
+    return record[:HEAD] + zlib.decompress(record[HEAD:], -15).ljust(TOKENS, bytes([PAD]))
+
+
 def records(docs: DataFrame, key: int) -> tuple[DataFrame, int, int]:
-    """(shard, slot, record) of every sequence, the number of sequences, and the records in a shard."""
+    """(shard, slot, packed record) of every sequence, the number of sequences, and the records in a shard."""
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL")
     count = F.ceil((F.octet_length("text") + 1) / TOKENS)
     sizes = {r.part: int(r.n) for r in rows.groupBy("part").agg(F.sum(count).alias("n")).collect()}  # a row per partition
@@ -112,7 +123,7 @@ def records(docs: DataFrame, key: int) -> tuple[DataFrame, int, int]:
                 tokens[base + size - 1] = END
                 made["ids"] = tokens.reshape(-1, TOKENS)
                 raw = made.tobytes()
-                value = pa.Array.from_buffers(pa.binary(), len(doc), [None, pa.py_buffer((np.arange(len(doc) + 1) * _RECORD.itemsize).astype(np.int32)), pa.py_buffer(raw)])
+                value = pa.array([_packed(raw[k : k + _RECORD.itemsize]) for k in range(0, len(raw), _RECORD.itemsize)], pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array((made["slot"] // in_shard).astype(np.int32)), pa.array(made["slot"].astype(np.int64)), value], names=out.fieldNames())
                 at += len(doc)
 
@@ -124,7 +135,12 @@ def write_shards(docs: DataFrame, folder: str, key: int = 42) -> tuple[int, int]
     made, total, in_shard = records(docs, key)
     if total:
         dealt = made.repartitionById(-(-total // in_shard), F.col("shard")).sortWithinPartitions("slot")
-        dealt.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
+
+        def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([_unpacked(r.as_py()) for r in batch.column(0)], pa.binary())], names=["record"])
+
+        dealt.select("record").mapInArrow(whole, "record binary").select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\n").text(folder)
     return total, in_shard
 
 
