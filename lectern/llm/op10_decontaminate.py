@@ -15,7 +15,7 @@ items; equal item ids count once; repeated document rows each keep a row; an emp
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.textkit import FOLD, column_bytes, fold_words, free_name, row_chunks
+from lectern.llm.textkit import FOLD, column_bytes, fold_words, row_chunks, small_batches
 
 WINDOW = 13
 #: Bytes of item text that one pass searches, and bytes of document text in one flat array.
@@ -176,33 +176,42 @@ def folded(column: pa.Array) -> Iterator[list[bytes]]:
         yield [b" " + b" ".join(words) + b" " if words else b"" for words in docs]
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, str | None]]]:
-    """The test items in blocks of about `block_bytes`, by a hash of the item id; one block is on the driver at a time."""
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str, str | None]], bool]]:
+    """The test items in blocks of about `block_bytes`, by a hash of the item id, and whether a block is the last;
+    one block is on the driver at a time."""
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
-        yield [(r.i, r.t) for r in part.toLocalIterator()]
-
-
-def scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, str]:
-    """`docs` with columns `keep` and one struct column of results; returns the frame and the struct's name."""
-    spark = docs.sparkSession
-    name, body = free_name(docs.select(*keep), "found"), "body"
-    result = T.StructType().add("n_words", "long").add("ranges", "binary").add("items", T.ArrayType(T.StringType()))
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias(body), F.lit(None).cast(result).alias(name))
-    for items in benchmark_blocks(benchmark, block_bytes):
-        shared = spark.sparkContext.broadcast(Matcher(items))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            matcher = shared.value
+        yield [(r.i, r.t) for r in part.toLocalIterator()], k == blocks - 1
+
+
+def searched(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    keep: list[str],
+    schema: T.StructType,
+    finish: Callable[[pa.StructArray, list[int], list[int], list[list[str]]], list[pa.Array]],
+    block_bytes: int,
+) -> DataFrame:
+    """One pass over the documents for each block of items; the last hands the columns `keep`, with the words, the
+    hit words and the items found of each row, to `finish`, which makes the columns of `schema`."""
+    context = docs.sparkSession.sparkContext
+    small_batches(docs.sparkSession)
+    found = T.StructType().add("ranges", "binary").add("items", T.ArrayType(T.StringType()))
+    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("body"), F.lit(None).cast(found).alias("found"))
+    between = frame.schema
+    for items, last in benchmark_blocks(benchmark, block_bytes):
+        shared = context.broadcast(Matcher(items))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 words: list[int] = []
                 ranges: list[np.ndarray] = []
                 names: list[list[str]] = []
                 for docs_ in folded(batch.column(1)):
-                    n, r, i = matcher.search(docs_)
+                    n, r, i = shared.value.search(docs_)
                     words += n
                     ranges += r
                     names += i
@@ -210,56 +219,47 @@ def scanned(docs: DataFrame, benchmark: DataFrame, keep: list[str], block_bytes:
                     if old is not None:
                         ranges[k] = np.concatenate([np.frombuffer(old["ranges"], np.int64).reshape(-1, 2), ranges[k]])
                         names[k] = sorted({*old["items"], *names[k]})
-                got = pa.StructArray.from_arrays(
-                    [pa.array(words, pa.int64()), pa.array([r.tobytes() for r in ranges], pa.binary()), pa.array(names, pa.list_(pa.string()))],
-                    names=["n_words", "ranges", "items"],
-                )
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), got], names=["row", body, name])
+                if last:
+                    yield pa.RecordBatch.from_arrays(finish(batch.column(0), words, [covered(r) for r in ranges], names), names=schema.fieldNames())
+                else:
+                    parts = [pa.array([r.tobytes() for r in ranges], pa.binary()), pa.array(names, pa.list_(pa.string()))]
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.StructArray.from_arrays(parts, names=["ranges", "items"])], names=between.fieldNames())
 
-        frame = frame.mapInArrow(run, frame.schema)
-    return frame, name
+        frame = frame.mapInArrow(run, schema if last else between)
+    return frame
+
+
+def is_contaminated(words: int, hit: int) -> bool:
+    """Whether any word is hit, and at least one in twenty."""
+    return hit > 0 and 20 * hit >= words
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Per document row: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the item ids found."""
-    frame, name = scanned(docs, benchmark, ["doc_id"], block_bytes)
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(1).to_pylist()
-            hit = [covered(np.frombuffer(f["ranges"], np.int64).reshape(-1, 2)) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0),
-                    pa.array([f["n_words"] for f in found], pa.int64()),
-                    pa.array(hit, pa.int64()),
-                    pa.array([len(f["items"]) for f in found], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(f["items"]).encode()).hexdigest() for f in found]),
-                    pa.array([h > 0 and 20 * h >= f["n_words"] for h, f in zip(hit, found, strict=True)]),
-                    pa.array([f["items"] for f in found], pa.list_(pa.string())),
-                ],
-                names=out.fieldNames(),
-            )
-
     out = T.StructType([docs.schema["doc_id"]]).add("n_words", "long").add("n_hit", "long").add("n_items", "long")
     out = out.add("items_sha256", "string").add("contaminated", "boolean").add("items", T.ArrayType(T.StringType()))
-    return frame.select(F.col("row.doc_id").alias("doc_id"), name).mapInArrow(finish, out)
+
+    def finish(row: pa.StructArray, words: list[int], hit: list[int], items: list[list[str]]) -> list[pa.Array]:
+        return [
+            row.flatten()[0],
+            pa.array(words, pa.int64()),
+            pa.array(hit, pa.int64()),
+            pa.array([len(i) for i in items], pa.int64()),
+            pa.array([hashlib.sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()),
+            pa.array([is_contaminated(w, h) for w, h in zip(words, hit, strict=True)], pa.bool_()),
+            pa.array(items, pa.list_(pa.string())),
+        ]
+
+    return searched(docs, benchmark, ["doc_id"], out, finish, block_bytes)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The document rows, all columns, in which fewer than one word in twenty lies in a test window."""
-    frame, name = scanned(docs, benchmark, docs.columns, block_bytes)
-
-    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(1).to_pylist()
-            hit = [covered(np.frombuffer(f["ranges"], np.int64).reshape(-1, 2)) for f in found]
-            keep = pa.array([not (h > 0 and 20 * h >= f["n_words"]) for h, f in zip(hit, found, strict=True)], pa.bool_())
-            rows = batch.column(0).filter(keep)
-            yield pa.RecordBatch.from_arrays(rows.flatten(), names=names)
-
-    names = docs.columns
-    return frame.select("row", name).mapInArrow(clean, docs.schema)
+
+    def finish(row: pa.StructArray, words: list[int], hit: list[int], items: list[list[str]]) -> list[pa.Array]:
+        return row.filter(pa.array([not is_contaminated(w, h) for w, h in zip(words, hit, strict=True)], pa.bool_())).flatten()
+
+    return searched(docs, benchmark, docs.columns, docs.schema, finish, block_bytes)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.textkit import free_name, stored
+from lectern.llm.textkit import free_name, small_batches, stored
 
 #: Sites that make a line boilerplate; relative band around it that is counted exactly; sketch size (error 2.3 %).
 SITES, BAND, LOG_REGISTERS = 10, 0.15, 11
@@ -64,6 +64,7 @@ def _cleaned(text: str | None, known: set[bytes] | frozenset[bytes]) -> tuple[st
 def cleaned(docs: DataFrame, sites: int = SITES, broadcast_lines: int = BROADCAST_LINES) -> tuple[DataFrame, str]:
     """`docs` with cleaned texts and a struct column (n_lines, n_removed); returns the frame and the struct's name."""
     spark = docs.sparkSession
+    small_batches(spark)
     known = stored(boilerplate(docs, sites), "boilerplate")
     name = free_name(docs, "cleaning")
     at = docs.columns.index("text")

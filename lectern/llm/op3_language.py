@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.textkit import column_bytes, row_chunks
+from lectern.llm.textkit import column_bytes, row_chunks, small_batches, thinned
 
 #: Units each way, bytes in a window when labelling and when learning, windows at once, documents a language teaches with.
 UNITS, WIDTH, LEARN_WIDTH, AT_ONCE, TEACHERS = 8, 128, 40, 2048, 400
@@ -160,7 +160,12 @@ def held_out(remainder: int, modulus: int) -> F.Column:
 def learn(docs: DataFrame, teachers: int = TEACHERS) -> Network:
     """A network taught by at most `teachers` documents of each language, by hash of their id, an excerpt of each."""
     spot = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - EXCERPT, F.lit(1)))
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out(2, 4))
+    open_ = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(2, 4))
+    sizes = {r[0]: r[1] for r in open_.groupBy(F.col("lang").cast("string")).count().collect()}  # a row per language
+    if not sizes:
+        return Network([])
+    size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("lang").cast("string"))
+    rows = open_.where(thinned(F.col("doc_id"), teachers, size) & F.col("text").rlike(r"\p{L}"))
     rows = rows.select(F.col("lang").cast("string").alias("lang"), F.substring("text", spot.cast("int"), F.lit(EXCERPT)).alias("part"), F.xxhash64("doc_id").alias("h"))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("n") <= teachers)
     got = ranked.select("lang", "part").collect()
@@ -206,6 +211,7 @@ def predictions(network: Network, column: pa.Array) -> tuple[list[str], list[flo
 
 def identify(docs: DataFrame, network: Network) -> DataFrame:
     """Per document row: doc_id, held_out, lang_pred and score of the whole text."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
     out = T.StructType([docs.schema["doc_id"]]).add("held_out", "boolean").add("lang_pred", "string").add("score", "double")
 
@@ -219,6 +225,7 @@ def identify(docs: DataFrame, network: Network) -> DataFrame:
 
 def identified(docs: DataFrame, network: Network, least: float) -> DataFrame:
     """The document rows, all columns, whose language is determined with a score of `least` or more."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(network)
     at = docs.columns.index("text")
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.components import components, local_roots
-from lectern.llm.textkit import FOLD, column_bytes, row_chunks, stored
+from lectern.llm.textkit import FOLD, column_bytes, row_chunks, small_batches, stored
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, STEP = 20, 4, 16
@@ -333,6 +333,7 @@ def links(members: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, tid, class_id (least doc_id among all that links join), n_links (other documents
     of similarity 0.8 or more, copies included), copy_id (least doc_id of its copies)."""
+    small_batches(docs.sparkSession)
     rows = stored(signed(docs), "signed")
     full = rows.where("key IS NOT NULL")
     reps = full.groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "tid")).alias("r"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))

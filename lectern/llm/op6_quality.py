@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.op3_language import held_out
-from lectern.llm.textkit import column_bytes, row_chunks, stored
+from lectern.llm.textkit import column_bytes, row_chunks, small_batches, stored, thinned
 
 SAMPLE, FEATURES, RIDGE, CUT = 4096, 256, 1e-3, 0.3
 #: Calibration bins over raw scores from LOW to HIGH; partition sums added in one task.
@@ -201,10 +201,10 @@ def learn(facts: DataFrame, labels: DataFrame) -> Model | float:
     spark = facts.sparkSession
     marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
     rows = stored(facts.join(marks.where(~held_out(0, 5)), "doc_id").select("doc_id", "x", "quality"), "labelled")
-    share = rows.agg(F.avg("quality")).first()[0]
+    share, total = rows.agg(F.avg("quality"), F.count(F.lit(1))).first()
     if share is None or share in (0.0, 1.0):
         return 0.5 if share is None else float(share)
-    sample = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("x").collect()
+    sample = rows.where(thinned(F.col("doc_id"), SAMPLE, total)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("x").collect()
     model = Model(np.stack([np.frombuffer(r.x, np.float64) for r in sample]))
     shared = spark.sparkContext.broadcast(model)
 
@@ -235,6 +235,7 @@ def learn(facts: DataFrame, labels: DataFrame) -> Model | float:
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document row: doc_id, held_out, score and predicted."""
+    small_batches(docs.sparkSession)
     facts = stored(described(docs), "facts")
     shared = docs.sparkSession.sparkContext.broadcast(learn(facts, labels))
     out = T.StructType([docs.schema["doc_id"]]).add("held_out", "boolean").add("score", "double").add("predicted", "integer")

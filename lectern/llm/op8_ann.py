@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.op5_jaccard import _Groups
-from lectern.llm.textkit import stored
+from lectern.llm.textkit import small_batches, stored, thinned
 
 #: Vectors the index is fitted on, queries that recall is measured with, recall asked for there.
 SAMPLE, PROBES, RECALL = 8192, 512, 0.97
@@ -150,12 +150,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(table: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by `every`, against all rows."""
     spark = table.sparkSession
+    small_batches(spark)
     rows = clean_vectors(table)
     total = rows.count()
     parts, visits, router = 1, 1, None
     if total > SMALL:
         parts = min(PARTS, 1 << max(1, round(np.log2(total / PART_ROWS))))
-        picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
+        picked = rows.where(thinned(F.col("vec_id"), SAMPLE, total)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
         sample = np.unique(np.array([r.v for r in picked]), axis=0)
         if len(sample) < 8 * parts:
             parts = 1

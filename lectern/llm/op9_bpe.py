@@ -26,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from lectern.llm.textkit import row_chunks
+from lectern.llm.textkit import row_chunks, small_batches
 
 #: Pieces a worker remembers, and characters of text in one round of merging.
-MEMO, CHUNK_CHARS, VOCABULARY_BYTES = 300_000, 2 << 20, 64 << 20
+MEMO, CHUNK_CHARS, VOCABULARY_BYTES = 150_000, 1 << 20, 64 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -164,6 +164,7 @@ def _chunks(column: pa.Array) -> Iterator[list[str | None]]:
 
 def encode(docs: DataFrame, path: str, ids: bool = True) -> DataFrame:
     """Per document row: doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids (little-endian u32)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(WordBpe(path))
     out = T.StructType([docs.schema["doc_id"]]).add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:

@@ -7,7 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Lower-cases A-Z, keeps 0-9, a-z and every byte of a non-ASCII character, blanks the rest.
 FOLD = bytes(
@@ -42,6 +43,18 @@ def row_chunks(offsets: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         start = end
 
 
+#: Rows in one Arrow batch: rows may hold whole long texts, and a batch is held by the JVM and by Python at once.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds the session's Arrow batches by BATCH_ROWS, unless they are smaller already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: the session's spark.checkpoint.dir, set only where it is unset."""
     context = spark.sparkContext
@@ -62,6 +75,12 @@ def stored(frame: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def thinned(key: Column, wanted: int, total: int | Column) -> Column:
+    """A condition, by a hash of the key, that about four times `wanted` of `total` rows meet, or all if there are
+    fewer: what a bounded sample is then picked from, so that not every task has to send a full one."""
+    return F.pmod(F.xxhash64(key, F.lit(11)), F.lit(1 << 40)) < F.lit(float(1 << 40)) * 4 * wanted / total
+
+
 def free_name(frame: DataFrame, stem: str) -> str:
     """A column name that `frame` does not have, compared without case as Spark does."""
     have, name = {c.lower() for c in frame.columns}, stem
