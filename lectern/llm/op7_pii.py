@@ -4,11 +4,12 @@ Base spans are emails, IP addresses, card and phone numbers. A protected entity
 context is the words within REACH characters of an occurrence. Over the whole corpus, n_e counts the documents
 with entity e, n_t those with term t, n_et those with t in a context of e, and N all documents. t discloses e
 to the degree PMI(e; t) / IC(e) = log(N n_et / (n_e n_t)) / log(N / n_e), which is 1 when t never occurs without
-e. A term whose degree reaches DISCLOSURE for any entity, with n_et of at least SUPPORT, is itself a span (kind
-`term`) wherever it occurs, and is generalised or removed with the rest.
+e. A term whose degree reaches DISCLOSURE for any entity is itself a span (kind `term`) wherever it occurs, and is
+generalised or removed with the rest. Entities of every frequency count: most personal data is in one document.
 
-Everything is a DataFrame expression. Only entities and pairs that can still reach SUPPORT are counted, which
-leaves the result unchanged; counts are pre-aggregated, so a common entity or term costs no more than others.
+Everything is a DataFrame expression; counts are pre-aggregated, so a common entity or term costs no more than
+others. A rare term with n_et = n_t is in no other documents than those of e's contexts, and these are known from
+the contexts; only other terms are looked up in all texts.
 
 Spans: leftmost non-overlapping per kind, in code points, end exclusive. Base spans of different kinds may
 overlap; a term that overlaps a base span adds none. Defined results: a null text counts as empty; repeated
@@ -25,10 +26,12 @@ from pyspark.sql import functions as F
 
 from lectern.llm.textkit import stored
 
-#: Characters on either side of an entity that are its context; documents a pair needs; degree that discloses.
-REACH, SUPPORT, DISCLOSURE = 1000, 3, 0.95
-#: Disclosing terms that are broadcast to find their documents; a larger set is joined by shuffling.
+#: Characters on either side of an entity that are its context; documents a pair needs (1: any); degree that discloses.
+REACH, SUPPORT, DISCLOSURE = 1000, 1, 0.95
+#: Disclosing terms that are broadcast to be looked up in all texts; a larger set is joined by shuffling.
 BROADCAST_TERMS = 100_000
+#: Documents of a term that may be taken from the contexts; so few that no key of that join is large.
+RARE = 100
 KINDS = ("email", "ip", "card", "phone")
 #: Linear forms of the contract's patterns: possessive, and begun only where a run of local characters begins or
 #: the last match ended, since a run that fails from its start fails from everywhere within.
@@ -95,14 +98,17 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
 def _rendered(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def disclosing_terms(found: DataFrame, words: DataFrame, total: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """The terms that disclose an entity, from `found` (text, spans) and `words` (term of every document, distinct per document)."""
+def contexts(found: DataFrame) -> DataFrame:
+    """(tid, entity, term) for every document of `found` (tid, text, spans), distinct per document."""
     entity = F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))).alias("entity")
-    known = found.select(entity).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
     around = F.filter("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"]) == F.col("entity"))
 
     def near(s: Column) -> Column:
@@ -116,15 +122,25 @@ def disclosing_terms(found: DataFrame, words: DataFrame, total: int, support: in
             masked, other = F.regexp_replace(masked, PATTERNS[kind], " "), F.regexp_replace(other, PATTERNS[kind], " ")
         return F.regexp_extract_all(F.lower(F.concat_ws(" ", masked, other)), F.lit(WORD), F.lit(0))
 
-    held = found.select("text", "spans", entity).join(known.select("entity"), "entity", "left_semi")
-    pairs = held.select("entity", F.explode(F.array_distinct(F.flatten(F.transform(around, near)))).alias("term"))
-    pairs = pairs.where(F.length("term") > 2).groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
-    pairs = stored(pairs.join(known, "entity"), "pairs")
+    held = found.select("tid", "text", "spans", entity)
+    own = F.array_intersect(F.flatten(F.transform(around, near)), _words(F.col("text")))  # a mask may cut a word in two
+    pairs = held.select("tid", "entity", F.explode(own).alias("term"))
+    return pairs.where(F.length("term") > 2)
+
+
+def disclosing_terms(found: DataFrame, seen: DataFrame, words: DataFrame, total: int, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
+    """(term, here): the terms that disclose an entity, from `found` (spans), its contexts `seen` and `words` (term of
+    every document, distinct per document); here: rare, and in no documents but those that have it in `seen`."""
+    entity = F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), s["value"])))).alias("entity")
+    known = found.select(entity).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e")).where(F.col("n_e") >= support)
+    pairs = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).where(F.col("n_et") >= support)
+    pairs = stored(pairs.join(known, "entity").select("term", "n_e", "n_et").distinct(), "pairs")
     counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))  # added up within tasks first, then met with the pairs
     whole = F.lit(float(total))
     pmi = F.log(whole * F.col("n_et") / (F.col("n_e") * F.col("n_t").cast("double")))
     degree = pmi / F.log(whole / F.col("n_e"))
-    return pairs.join(counted, "term").where((F.col("n_e") < total) & (degree >= disclosure - 1e-9)).select("term").distinct()
+    here = (F.col("n_et") == F.col("n_t")) & (F.col("n_t") <= RARE)
+    return pairs.join(counted, "term").where((F.col("n_e") < total) & (degree >= disclosure - 1e-9)).groupBy("term").agg(F.max(here).alias("here"))
 
 
 def sanitised(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
@@ -135,13 +151,16 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCL
     rows = docs.select("doc_id", text.alias("text")).withColumn("tid", F.md5("text"))
     found = rows.withColumn("spans", base_spans(F.col("text")))
     total = docs.count()
-    word_array = F.array_distinct(F.regexp_extract_all(F.lower(F.col("text")), F.lit(WORD), F.lit(0)))
-    words = rows.select("tid", F.explode(word_array).alias("term")).where(F.length("term") > 2)
-    kept = stored(found.where(F.size("spans") > 0).select("text", "spans"), "entities")
-    terms = stored(disclosing_terms(kept, words, total, support, disclosure), "terms")
-    many = terms.count()
-    held = words.join(F.broadcast(terms) if many <= BROADCAST_TERMS else terms, "term", "left_semi").groupBy("tid").agg(F.collect_set("term").alias("terms"))
-    joined = found.join(held, "tid", "left") if many else found.withColumn("terms", F.array().cast("array<string>"))
+    words = rows.select("tid", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).where(F.length("term") > 2)
+    kept = stored(found.where(F.size("spans") > 0).select("tid", "text", "spans"), "entities")
+    seen = stored(contexts(kept), "contexts")
+    terms = stored(disclosing_terms(kept, seen, words, total, support, disclosure), "terms")
+    here, wide = terms.where("here").select("term"), terms.where("NOT here").select("term")
+    many = wide.count()
+    held = seen.select("tid", "term").join(here, "term", "left_semi")
+    if many:
+        held = held.unionByName(words.join(F.broadcast(wide) if many <= BROADCAST_TERMS else wide, "term", "left_semi"))
+    joined = found.join(held.groupBy("tid").agg(F.collect_set("term").alias("terms")), "tid", "left")
     base = F.col("spans")
     free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     named = _matches(F.col("text"), WORD, len(KINDS), "term", lambda v: F.array_contains(F.col("terms"), F.lower(v)))

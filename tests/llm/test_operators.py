@@ -172,6 +172,26 @@ def test_disclosing_terms_equal_plain_counts(spark):
         assert r.r == rendered(all_spans(texts[r.doc_id], terms))
 
 
+@pytest.mark.parametrize("broadcast_terms", [op7_pii.BROADCAST_TERMS, 0])
+def test_entities_of_one_document_disclose_terms(spark, monkeypatch, broadcast_terms):
+    monkeypatch.setattr(op7_pii, "BROADCAST_TERMS", broadcast_terms)
+    monkeypatch.setattr(op7_pii, "RARE", 2)
+    texts = [f"{prose(20, k)} ends" for k in range(30)] + ["ask clerkname at one@a.example " + prose(5, 41), "ask twofold two@b.example", "twofold two@b.example again"]
+    texts += [f"thrice {prose(3, 50 + k)} three@c.example" for k in range(3)] + ["clerkname2 ends " + "x " * 1200 + "four@d.example"]
+    terms = disclosing(texts, op7_pii.REACH, 1, op7_pii.DISCLOSURE)
+    assert {"clerkname", "twofold", "thrice"} <= terms and not {"ends", "clerkname2"} & terms
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in op7_pii.sanitised(docs).select("doc_id", op7_pii._rendered(F.col("spans_found")).alias("r")).collect():
+        assert r.r == rendered(all_spans(texts[r.doc_id], terms))
+
+
+def test_a_part_of_a_masked_word_is_no_term(spark):
+    texts = [f"{prose(20, k)} ends" for k in range(30)] + ["mail me@a.example 4111111111111111zed", "zed alone"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.r for r in op7_pii.sanitised(docs).select("doc_id", op7_pii._rendered(F.col("spans_found")).alias("r")).collect()}
+    assert got[31] == "" and got[30] == "term:0:4,email:5:17,card:18:34"
+
+
 def test_sequences_make_up_the_texts(spark, tmp_path):
     rows = [(k, prose(40 * k, k), "en", "s") for k in range(30)] + odd_rows()
     table(spark, rows).repartition(5).write.parquet(str(tmp_path / "docs"))
