@@ -205,14 +205,18 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, recall: float = RECA
 
 def _best(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k best candidates of each query in a block: picked by matrix product, then scored by sums whose order
-    does not depend on a row's place, so that equal vectors score equally."""
+    does not depend on a row's place, so that equal vectors score equally. The cut is the k-th best of distinct ids."""
     found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     if len(ids) and len(query_ids):
+        order = np.argsort(ids, kind="stable")
+        ids, x = ids[order], x[order]
+        starts = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         for a in range(0, len(query_ids), 256):
             score = queries[a : a + 256] @ x.T
             for j in range(len(score)):
                 row = np.where(ids == query_ids[a + j], -np.inf, score[j])
-                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+                each = np.maximum.reduceat(row, starts) if len(starts) < len(row) else row
+                least = np.partition(each, len(each) - k)[len(each) - k] if len(each) > k else -np.inf
                 slack = 1e-9 * (1 + abs(least)) if np.isfinite(least) else 0
                 some = np.flatnonzero((row >= least - slack) & (row > -np.inf))
                 exact = (x[some] * queries[a + j]).sum(axis=1)

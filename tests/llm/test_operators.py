@@ -301,6 +301,19 @@ def test_nearest_neighbours(spark, monkeypatch):
     assert op8_ann.nearest(small.limit(0)).count() == 0
 
 
+def test_a_vector_repeated_often_hides_no_neighbours(spark):
+    x = np.random.default_rng(3).normal(size=(400, 8))
+    ids, rows = np.arange(400), x.copy()
+    best = int(np.lexsort((ids, -np.where(ids == 0, -np.inf, x @ x[0])))[0])
+    ids, rows = np.concatenate([ids, np.full(60, best)]), np.concatenate([rows, np.repeat(x[best : best + 1], 60, axis=0)])
+    for order in (np.arange(460), np.random.default_rng(4).permutation(460)):
+        _, found, _ = op8_ann._best(ids[order], rows[order], np.array([0]), x[:1], 20)
+        score = np.where(np.arange(400) == 0, -np.inf, (x * x[0]).sum(axis=1))
+        assert found.tolist() == np.lexsort((np.arange(400), -score))[:20].tolist()
+    docs = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, rows, strict=True)], "vec_id long, embedding array<double>")
+    assert op8_ann.nearest(docs).groupBy("query_id").count().where("count <> 20").count() == 0
+
+
 def test_empty_tables(spark):
     docs = table(spark, [])
     bench = spark.createDataFrame([("a", "x y z")], "item_id string, text string")
