@@ -4,9 +4,9 @@ How many sites a line appears on is estimated by a HyperLogLog sketch per line h
 line clearly above the threshold is boilerplate, one clearly below is not, and a line near it gets an exact
 distinct count. Lines that occur fewer times than the threshold cannot reach it, so they get no sketch.
 
-Boilerplate lines are removed from every document, but for a document in which they hold more than half of the
-characters: that is a copy of other documents rather than a text with furniture, and near-duplicate removal
-decides about it.
+In the pipeline boilerplate lines are removed from every document that keeps a line of its own; a text all of whose
+lines are boilerplate is left alone, for removal would empty it. The query `op1_lines` follows its SQL twin, which
+also leaves alone a document in which boilerplate holds more than half of the characters (`spare_most`).
 
 Defined results: a site is a non-null source; a blank line (spaces only) counts for nothing and stays; a null
 text stays null with no lines; repeated rows each keep a row; an empty table gives an empty result.
@@ -48,20 +48,22 @@ def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
     return sure.unionByName(exact.select("line"))
 
 
-def _cleaned(text: str | None, known: set[bytes] | frozenset[bytes]) -> tuple[str | None, int, int]:
-    """The text without known lines, its lines that aren't blank, and how many were removed."""
+def _cleaned(text: str | None, known: set[bytes] | frozenset[bytes], spare_most: bool = False) -> tuple[str | None, int, int]:
+    """The text without known lines, its lines that aren't blank, and how many were removed; unchanged if all are
+    known, or, with `spare_most`, if known lines hold more than half of the characters."""
     if text is None:
         return None, 0, 0
     lines = text.split("\n")
     full = [bool(line.strip(" ")) for line in lines]
     drop = [f and hashlib.md5(line.encode("utf-8", "surrogatepass")).digest() in known for f, line in zip(full, lines, strict=True)]
     gone = sum(len(line) for line, d in zip(lines, drop, strict=True) if d)
-    if not gone or 2 * gone > sum(len(line) for line, f in zip(lines, full, strict=True) if f):
+    most = 2 * gone > sum(len(line) for line, f in zip(lines, full, strict=True) if f)
+    if not gone or sum(drop) == sum(full) or (spare_most and most):
         return text, sum(full), 0
     return "\n".join(line for line, d in zip(lines, drop, strict=True) if not d), sum(full), sum(drop)
 
 
-def cleaned(docs: DataFrame, sites: int = SITES, broadcast_lines: int = BROADCAST_LINES) -> tuple[DataFrame, str]:
+def cleaned(docs: DataFrame, sites: int = SITES, broadcast_lines: int = BROADCAST_LINES, spare_most: bool = False) -> tuple[DataFrame, str]:
     """`docs` with cleaned texts and a struct column (n_lines, n_removed); returns the frame and the struct's name."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -76,7 +78,7 @@ def cleaned(docs: DataFrame, sites: int = SITES, broadcast_lines: int = BROADCAS
         for batch in batches:
             texts = batch.column(at).to_pylist()
             own = [shared.value] * len(texts) if everywhere else [set(x or ()) for x in batch.column(batch.num_columns - 1).to_pylist()]
-            got = [_cleaned(t, k) for t, k in zip(texts, own, strict=True)]
+            got = [_cleaned(t, k, spare_most) for t, k in zip(texts, own, strict=True)]
             columns = batch.columns[: len(out) - 1]
             columns[at] = pa.array([g[0] for g in got], pa.string())
             counts = [pa.array([g[k] for g in got], pa.int64()) for k in (1, 2)]
@@ -101,7 +103,7 @@ def without_boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op1 over the whole documents table: per document its lines, those removed, and the digest of what stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
-    frame, name = cleaned(docs)
+    frame, name = cleaned(docs, spare_most=True)
     return frame.select("doc_id", F.col(f"{name}.n_lines"), F.col(f"{name}.n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 

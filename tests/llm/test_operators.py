@@ -147,6 +147,18 @@ def test_lines_keep_what_is_not_boilerplate(spark):
         assert frame.count() == len(rows)
 
 
+def test_short_documents_of_mostly_boilerplate_are_cleaned(spark):
+    furniture = ["All rights reserved by whoever runs the site you read", "Sign up for our weekly letter and never miss a thing"]
+    rows = [(k, f"{furniture[0]}\n{prose(40, k)}\n{furniture[1]}", "en", f"s{k}") for k in range(12)]
+    rows += [(50, f"{furniture[0]}\nown line\n{furniture[1]}", "en", "s1"), (51, "\n \n".join(furniture), "en", "s1"), (52, f"{furniture[0]}\nx", None, None)]
+    for bound in (op1_lines.BROADCAST_LINES, 0):
+        frame, name = op1_lines.cleaned(table(spark, rows), broadcast_lines=bound)
+        got = {r.doc_id: (r.text, *r[name]) for r in frame.collect()}
+        assert got[50] == ("own line", 3, 2) and got[52] == ("x", 2, 1) and got[51] == ("\n \n".join(furniture), 2, 0)
+    texts = {r.doc_id: (r.text, r.n_chars) for r in op1_lines.without_boilerplate(table(spark, rows)).collect()}
+    assert texts[50] == ("own line", 8) and texts[51][0] == "\n \n".join(furniture) and texts[3][0] == prose(40, 3)
+
+
 def test_near_threshold_lines_are_counted_exactly(spark):
     rows = [(100 * n + k, f"line of {n} sites\n{prose(30, 100 * n + k)}", "en", f"t{k}") for n in range(8, 13) for k in range(n)]
     found = op1_lines.boilerplate(table(spark, rows), 10).collect()
