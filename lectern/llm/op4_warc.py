@@ -107,11 +107,22 @@ def read_index(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("payload_digest", F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header names another digest")).cast("string")))
 
 
+def rebuilt(spark: SparkSession, folder: str) -> DataFrame:
+    """`read_records` with length and SHA-1 of the full payload: a response's is cut out of its rebuilt record, a
+    revisit's is that of the record it refers to."""
+    rows = read_records(spark, folder)
+    size = F.octet_length("record") - F.octet_length("header") - 4
+    block = F.when(F.col("record_type") == "response", F.substring("record", F.octet_length("header") + 1, size)).otherwise(F.col("payload"))
+    rows = rows.withColumn("block", block).withColumns({"payload_bytes": F.octet_length("block").cast("long"), "payload_digest": F.sha1("block")})
+    same = F.col("payload_digest") == F.col("named_digest")
+    return rows.withColumn("payload_digest", F.when(same, F.col("payload_digest")).otherwise(F.raise_error(F.lit("a header names another digest")).cast("string"))).drop("block")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4 over the whole pages table: written to the shared folder and read back."""
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_archive(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
-    return read_index(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return rebuilt(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = f"""

@@ -244,6 +244,17 @@ def test_archive_round_trip(spark, tmp_path):
     assert index[1].payload_digest == hashlib.sha1(page.encode()).hexdigest() and index[1].payload_bytes == len(page.encode())
 
 
+def test_the_archive_query_rebuilds_records(spark, tmp_path, monkeypatch):
+    page = "<html>" + prose(300, 1) + "é</html>"
+    rows = [(1, "u", page), (2, "u", page), (3, "u", "x"), (4, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    used, read = [], op4_warc.read_records
+    monkeypatch.setattr(op4_warc, "read_records", lambda *a: used.append(a) or read(*a))
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in op4_warc.query(spark, str(tmp_path)).collect()}
+    facts = {i: (len(h := (html or "").encode()), hashlib.sha1(h).hexdigest()) for i, _, html in rows}
+    assert used and got == {i: (*facts[i], "revisit" if i == 1 else "response", 2 if i == 1 else None) for i in facts}
+
+
 def languages(n: int):
     made = {"en": "the and of tion ing with that er".split(), "de": "der und ein sch keit ung zu über".split(), "fr": "le de que eau ion é aux tre".split()}
     return [(1000 * j + k, " ".join(random.Random(1000 * j + k).choices(parts, k=60)), lang, "s") for j, (lang, parts) in enumerate(made.items()) for k in range(n)]
