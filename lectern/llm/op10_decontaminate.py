@@ -8,8 +8,9 @@ so every step is a numpy operation over one flat byte array.
 The benchmark is gathered in blocks of bounded size; each block is one pass over the documents, chained
 without a shuffle, so a larger benchmark costs passes and never memory.
 
-Defined results: a null or wordless text has no words and no hits; items with a null id or no word are no
-items; equal item ids count once; repeated document rows each keep a row; an empty benchmark hits nothing.
+Defined results: a null or wordless text has no words and no hits; items without a word are no items; the windows
+of an item with a null id hit, but it is not among the items found; equal item ids count once; repeated document
+rows each keep a row; an empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -103,16 +104,16 @@ class WindowClass:
 class Matcher:
     """The windows of one block of test items, in classes by the power of two of their length."""
 
-    def __init__(self, items: list[tuple[str, str | None]]) -> None:
+    def __init__(self, items: list[tuple[str | None, str | None]]) -> None:
         parts, size = [], 0
         spans: dict[bytes, tuple[int, set[int]]] = {}
         self.items: list[str] = []
         number: dict[str, int] = {}
         for item_id, text in items:
             words = fold_words(text)
-            if not words or item_id is None:
+            if not words:
                 continue
-            if item_id not in number:
+            if item_id is not None and item_id not in number:
                 number[item_id] = len(self.items)
                 self.items.append(item_id)
             flat = b" " + b" ".join(words) + b" "
@@ -120,14 +121,16 @@ class Matcher:
             width = min(WINDOW, len(words))
             for i in range(len(words) - width + 1):
                 a, b = int(ends[i]), int(ends[i + width]) + 1
-                spans.setdefault(hashlib.blake2b(flat[a:b], digest_size=16).digest() + (b - a).to_bytes(8, "little"), (size + a, set()))[1].add(number[item_id])
+                owners = spans.setdefault(hashlib.blake2b(flat[a:b], digest_size=16).digest() + (b - a).to_bytes(8, "little"), (size + a, set()))[1]
+                if item_id is not None:
+                    owners.add(number[item_id])
             parts.append(flat)
             size += len(flat)
         text = b"".join(parts)
         groups: dict[int, list[tuple[int, int, np.ndarray]]] = {}
         for key, (start, owners) in spans.items():
             length = int.from_bytes(key[16:], "little")
-            groups.setdefault(min(length.bit_length(), 6), []).append((start, length, np.array(sorted(owners))))
+            groups.setdefault(min(length.bit_length(), 6), []).append((start, length, np.array(sorted(owners), np.int64)))
         self.classes = [
             WindowClass(text, np.array([g[0] for g in group]), np.array([g[1] for g in group]), [g[2] for g in group])
             for group in groups.values()
@@ -176,14 +179,14 @@ def folded(column: pa.Array) -> Iterator[list[bytes]]:
         yield [b" " + b" ".join(words) + b" " if words else b"" for words in docs]
 
 
-def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str, str | None]], bool]]:
-    """The test items in blocks of about `block_bytes`, by a hash of the item id, and whether a block is the last;
+def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[list[tuple[str | None, str | None]], bool]]:
+    """The test items in blocks of about `block_bytes`, by a hash of the item id (or else the text), and whether a block is the last;
     one block is on the driver at a time."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("i IS NOT NULL AND t IS NOT NULL")
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).where("t IS NOT NULL")
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_bytes))
     for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64(F.coalesce("i", "t")), F.lit(blocks)) == k)
         yield [(r.i, r.t) for r in part.toLocalIterator()], k == blocks - 1
 
 

@@ -103,6 +103,15 @@ def test_contamination_equals_plain_search(spark, block_bytes):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(i) for (i, *_), (w, h, _) in zip(rows, want, strict=True) if not (h > 0 and 20 * h >= w))
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 22, 60])
+def test_items_without_id_contaminate(spark, block_bytes):
+    rows = [(1, prose(15, 903), "en", "s"), (2, prose(15, 904), "en", "s"), (3, prose(15, 903) + " " + prose(40, 900), "en", "s")]
+    bench = spark.createDataFrame(benchmark_items(), "item_id string, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in op10_decontaminate.contamination(table(spark, rows), bench, block_bytes).collect()}
+    assert got == {1: (15, 0, True), 2: (0, 0, False), 3: (55, 1, True)}
+    assert [r.doc_id for r in op10_decontaminate.decontaminate(table(spark, rows), bench, block_bytes).collect()] == [2]
+
+
 def test_empty_benchmark_hits_nothing(spark):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert op10_decontaminate.contamination(table(spark, contamination_rows()), bench).where("n_hit > 0").count() == 0
