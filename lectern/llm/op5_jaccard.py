@@ -333,6 +333,12 @@ def links(members: DataFrame, docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, tid, class_id (least doc_id among all that links join), n_links (other documents
     of similarity 0.8 or more, copies included), copy_id (least doc_id of its copies)."""
+    return _classed(docs).drop("head_tid")
+
+
+def _classed(docs: DataFrame) -> DataFrame:
+    """`near_duplicates` with head_tid: with class_id it names the row that heads the class, even where rows of one
+    doc_id head several."""
     small_batches(docs.sparkSession)
     rows = stored(signed(docs), "signed")
     full = rows.where("key IS NOT NULL")
@@ -348,18 +354,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         counts = split.groupBy("key").agg(F.sum("links").alias("links"))
         summed = summed.unionByName(counts.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "links", F.coalesce("root", "key").alias("root")))
     summed = summed.groupBy("key").agg(F.max("links").alias("links"), F.min("root").alias("root"))
-    known = reps.select("key", "copies", "rep").join(summed, "key", "left").select("key", "copies", "rep", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root"))
-    heads = known.groupBy("root").agg(F.min("rep").alias("class_id"))
-    known = known.join(heads, "root").select("key", (F.col("links") + F.col("copies") - 1).alias("n_links"), "class_id", F.col("rep").alias("copy_id"))
-    linked = full.select("doc_id", "tid", "key").join(known, "key").select("doc_id", "tid", "class_id", "n_links", "copy_id")
-    alone = rows.where("key IS NULL").select("doc_id", "tid", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"))
+    known = reps.select("key", "copies", "rep", "tid").join(summed, "key", "left").select("key", "copies", "rep", "tid", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("root", "key").alias("root"))
+    heads = known.groupBy("root").agg(F.min(F.struct("rep", "tid")).alias("head"))
+    known = known.join(heads, "root").select("key", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.rep").alias("class_id"), F.col("rep").alias("copy_id"), F.col("head.tid").alias("head_tid"))
+    linked = full.select("doc_id", "tid", "key").join(known, "key").select("doc_id", "tid", "class_id", "n_links", "copy_id", "head_tid")
+    alone = rows.where("key IS NULL").select("doc_id", "tid", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("doc_id").alias("copy_id"), F.col("tid").alias("head_tid"))
     return linked.unionByName(alone)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document rows, all columns, with one of each class: that of the least doc_id (of repeated rows, one)."""
-    found = near_duplicates(docs)
-    stay = found.where("doc_id = class_id").groupBy(F.col("doc_id").alias("keep_id")).agg(F.min(F.coalesce("tid", F.lit(""))).alias("keep_tid"))
+    """The document rows, all columns, with one of each class: that of the least doc_id (of repeated rows, one; rows
+    of one doc_id that head different classes all stay)."""
+    found = _classed(docs)
+    heads = found.where("doc_id = class_id AND tid <=> head_tid")
+    stay = heads.select(F.col("doc_id").alias("keep_id"), F.coalesce("tid", F.lit("")).alias("keep_tid"))
     own = F.coalesce(F.md5("text"), F.lit(""))
     once = Window.partitionBy("keep_id", "keep_tid").orderBy("keep_id")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("keep_id"), own.alias("keep_tid"))

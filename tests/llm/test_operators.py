@@ -72,6 +72,15 @@ def test_one_of_each_class_stays_with_all_columns(spark):
     assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == heads
 
 
+def test_classes_that_share_a_doc_id_each_keep_a_row(spark):
+    one, two, three = prose(80, 21), prose(80, 22), prose(80, 23)
+    rows = [(5, one, "en", "s"), (5, two, "en", "s"), (5, two, "en", "s"), (6, one, "en", "s"), (7, changed(two, [3]), "en", "s"), (8, three, "en", "s"), (9, "!!", "en", "s"), (9, None, "en", "s")]
+    docs = table(spark, rows)
+    kept = [(r.doc_id, r.text) for r in op5_jaccard.one_of_each(docs).collect()]
+    assert sorted(kept, key=str) == sorted([(5, one), (5, two), (8, three), (9, "!!"), (9, None)], key=str)
+    assert op5_jaccard.near_duplicates(docs).columns == ["doc_id", "tid", "class_id", "n_links", "copy_id"]
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
