@@ -21,11 +21,13 @@ def fold_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(FOLD).split() if text else []
 
 
-def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column, one row after another, and its row offsets; a null is empty."""
+def column_bytes(column: pa.Array, kind: pa.DataType | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string (or, with `kind` large_binary, binary) column, one row after another, and its row
+    offsets; a null is empty."""
+    kind = kind or pa.large_string()
     if column.null_count:
-        column = column.fill_null("")
-    column = column.cast(pa.large_string())
+        column = column.fill_null(b"" if pa.types.is_large_binary(kind) else "")
+    column = column.cast(kind)
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     data = column.buffers()[2]
     if data is None or not len(column):
@@ -56,25 +58,73 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the session's spark.checkpoint.dir, set only where it is unset."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir. Where it is unset, a local
+    session gets one of this machine; a cluster has none that all its machines share, so that is an error."""
     context = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = "/tmp/checkpoints"
-        context.setCheckpointDir(folder)
-    elif not context.getCheckpointDir():
+    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
+#: Folders that `stored` has written and `discard` has not deleted.
+_written: list[str] = []
+
+
 def stored(frame: DataFrame, label: str) -> DataFrame:
     """`frame` written to the shared folder and read again: cuts lineage and survives lost executors."""
     spark = frame.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    keep(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def keep(path: str) -> None:
+    """Notes a folder for a later `discard`."""
+    _written.append(path)
+
+
+def discard(spark: SparkSession, mark: int = 0) -> None:
+    """Deletes the folders written since `mark` (a former `written()`); for results that nothing will read again."""
+    while len(_written) > mark:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def written() -> int:
+    """How many folders `stored` has written that are still there."""
+    return len(_written)
+
+
+#: Values of a key filter: at most so many rows of one number are ever broadcast.
+FILTER_VALUES = 1 << 20
+
+
+class KeyFilter:
+    """A bounded filter for the keys of a table: the distinct values of a hash with FILTER_VALUES values, broadcast.
+
+    A row that it rejects has none of the keys; one that it passes may have, and is to be joined exactly. However
+    many keys there are, the broadcast stays below FILTER_VALUES rows; it then passes more and spares less."""
+
+    def __init__(self, keys: DataFrame, *columns: str, values: int = FILTER_VALUES) -> None:
+        self.columns, self.values = columns, values
+        self.marks = stored(keys.select(self._mark().alias("mark")).distinct(), "filter")
+
+    def _mark(self) -> Column:
+        return F.pmod(F.xxhash64(*self.columns, F.lit(29)), F.lit(self.values))
+
+    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The rows that may have one of the keys, and those that have none; without a shuffle."""
+        name = free_name(rows, "mark")
+        marked, marks = rows.withColumn(name, self._mark()), F.broadcast(self.marks.withColumnRenamed("mark", name))
+        return marked.join(marks, name, "left_semi").drop(name), marked.join(marks, name, "left_anti").drop(name)
+
+
 def thinned(key: Column, wanted: int, total: int | Column) -> Column:
     """A condition, by a hash of the key, that about four times `wanted` of `total` rows meet, or all if there are
     fewer: what a bounded sample is then picked from, so that not every task has to send a full one."""
