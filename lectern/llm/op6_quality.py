@@ -6,7 +6,7 @@ adds up its rows' normal equations, the sums are added level by level, and the d
 Raw scores are calibrated by pooling adjacent violators over a histogram of fixed bins of the learning rows.
 
 Learned from labelled rows outside the held-out fold; standardisation and kernel width come from a bounded
-sample of them (SAMPLE rows by hash of doc_id), everything else from all of them.
+sample of them (SAMPLE rows by hash of doc_id and text statistics), everything else from all of them.
 
 Defined results: null and empty texts have the statistics of an empty text; a label that is null or not 0 or 1
 teaches nothing; several labels of a doc_id all count; without labels, or with one class alone, the score is the
@@ -129,6 +129,11 @@ def _unpacked(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), STATISTICS)
 
 
+def normal_equations(z: np.ndarray, n: np.ndarray, ones: np.ndarray) -> np.ndarray:
+    """[ZZ | Zy] of rows that have `n` labels each, `ones` of them 1."""
+    return np.hstack([(z * n[:, None]).T @ z, (z.T @ ones)[:, None]])
+
+
 class Model:
     """Standardisation, Fourier features, ridge weights and calibration."""
 
@@ -196,16 +201,25 @@ def _added(frame: DataFrame, parts: int) -> np.ndarray | None:
     return sum((np.frombuffer(r.sums, np.float64) for r in rows[1:]), np.frombuffer(rows[0].sums, np.float64).copy()) if rows else None
 
 
+def _sampled(rows: DataFrame, total: int, size: int = SAMPLE) -> list:
+    """At most `size` of `total` rows by hash: thinned first, and unthinned if a few repeated rows all fell out."""
+    key = F.xxhash64("doc_id", "x")
+    first = lambda frame: frame.orderBy(key, "doc_id", "x").limit(size).select("x").collect()
+    return first(rows.where(thinned(key, size, total))) or first(rows.distinct())
+
+
 def learn(facts: DataFrame, labels: DataFrame) -> Model | float:
-    """A model from (doc_id, x) and labels (doc_id, quality); a bare share of label 1 where there is one class."""
+    """A model from (doc_id, x) and labels (doc_id, quality); a bare share of label 1 where there is one class.
+
+    The labels of a doc_id are added up first, so that repeated ids on both sides don't multiply."""
     spark = facts.sparkSession
-    marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").select("doc_id", F.col("quality").cast("int").alias("quality"))
-    rows = stored(facts.join(marks.where(~held_out(0, 5)), "doc_id").select("doc_id", "x", "quality"), "labelled")
-    share, total = rows.agg(F.avg("quality"), F.count(F.lit(1))).first()
-    if share is None or share in (0.0, 1.0):
-        return 0.5 if share is None else float(share)
-    sample = rows.where(thinned(F.col("doc_id"), SAMPLE, total)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).select("x").collect()
-    model = Model(np.stack([np.frombuffer(r.x, np.float64) for r in sample]))
+    marks = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id")
+    marks = marks.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(F.col("quality").cast("double")).alias("ones"))
+    rows = stored(facts.join(marks.where(~held_out(0, 5)), "doc_id").select("doc_id", "x", "n", "ones"), "labelled")
+    weight, ones, total = rows.agg(F.sum("n"), F.sum("ones"), F.count(F.lit(1))).first()
+    if not total or ones in (0.0, weight):
+        return float(ones / weight) if total else 0.5
+    model = Model(np.stack([np.frombuffer(r.x, np.float64) for r in _sampled(rows, total)]))
     shared = spark.sparkContext.broadcast(model)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,22 +227,21 @@ def learn(facts: DataFrame, labels: DataFrame) -> Model | float:
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 part = batch.slice(a, 2048)
-                z, y = shared.value.expand(_unpacked(part.column(0))), part.column(1).to_numpy(zero_copy_only=False)
-                found = np.hstack([z.T @ z, (z.T @ y)[:, None]])
+                found = normal_equations(shared.value.expand(_unpacked(part.column(0))), *(part.column(k).to_numpy(zero_copy_only=False) for k in (1, 2)))
                 total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    learning = rows.select("x", F.col("quality").cast("double").alias("y"))
+    learning = rows.select("x", "n", "ones")
     model.solve(_added(learning.mapInArrow(sums, "sums binary"), learning.rdd.getNumPartitions()))
     shared = spark.sparkContext.broadcast(model)
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw = shared.value.raw(_unpacked(batch.column(0)))
-            yield pa.RecordBatch.from_arrays([pa.array(((raw - LOW) / (HIGH - LOW) * BINS).astype(np.int32)), batch.column(1)], names=["bin", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(((raw - LOW) / (HIGH - LOW) * BINS).astype(np.int32)), batch.column(1), batch.column(2)], names=["bin", "n", "ones"])
 
-    bins = learning.mapInArrow(binned, "bin int, y double").groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("ones")).collect()
+    bins = learning.mapInArrow(binned, "bin int, n double, ones double").groupBy("bin").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).collect()
     model.calibrate(*(np.array([r[k] for r in bins], float) for k in range(3)))
     return model
 
