@@ -24,6 +24,8 @@ from lectern.llm.textkit import column_bytes, row_chunks, small_batches, thinned
 
 #: Units each way, bytes in a window when labelling and when learning, windows at once, documents a language teaches with.
 UNITS, WIDTH, LEARN_WIDTH, AT_ONCE, TEACHERS = 8, 128, 40, 2048, 400
+#: Languages that are learned, the commonest first: rare or mistyped marks beyond them teach nothing.
+LANGUAGES = 128
 EXCERPT, STEPS, BATCH, RATE = 400, 260, 256, 0.02
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 UNDETERMINED = "und"
@@ -157,30 +159,40 @@ def held_out(remainder: int, modulus: int) -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == remainder, F.lit(False))
 
 
-def learn(docs: DataFrame, teachers: int = TEACHERS) -> Network:
-    """A network taught by at most `teachers` documents of each language, by hash of their id, an excerpt of each."""
+def _excerpts(docs: DataFrame, teachers: int, languages: int) -> list[tuple[str, str]]:
+    """(language, excerpt) of at most `teachers` rows of each of the `languages` commonest languages, by hash of id
+    and text. Rows are thinned within tasks first; a language whose few distinct rows all fell out gives one."""
     spot = F.lit(1) + F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - EXCERPT, F.lit(1)))
-    open_ = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(2, 4))
-    sizes = {r[0]: r[1] for r in open_.groupBy(F.col("lang").cast("string")).count().collect()}  # a row per language
+    open_ = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out(2, 4) & F.col("text").rlike(r"\p{L}"))
+    open_ = open_.select(F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id", "text").alias("h"), F.substring("text", spot.cast("int"), F.lit(EXCERPT)).alias("part"))
+    sizes = {r.lang: r.n for r in open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     if not sizes:
-        return Network([])
-    size = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("lang").cast("string"))
-    rows = open_.where(thinned(F.col("doc_id"), teachers, size) & F.col("text").rlike(r"\p{L}"))
-    rows = rows.select(F.col("lang").cast("string").alias("lang"), F.substring("text", spot.cast("int"), F.lit(EXCERPT)).alias("part"), F.xxhash64("doc_id").alias("h"))
+        return []
+    size = F.try_element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col("lang"))
+    rows = open_.where(F.col("lang").isin(*sizes) & thinned(F.col("h"), teachers, size))
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).where(F.col("n") <= teachers)
-    got = ranked.select("lang", "part").collect()
-    languages = sorted({r.lang for r in got})
-    network = Network(languages)
-    if len(languages) < 2:
+    got = [(r.lang, r.part) for r in ranked.select("lang", "part").collect()]
+    if missing := sorted(set(sizes) - {lang for lang, _ in got}):
+        least = open_.where(F.col("lang").isin(*missing)).groupBy("lang").agg(F.min(F.struct("h", "part")).alias("m"))
+        got += [(r.lang, r.part) for r in least.select("lang", "m.part").collect()]
+    return sorted(got)
+
+
+def learn(docs: DataFrame, teachers: int = TEACHERS, languages: int = LANGUAGES) -> Network:
+    """A network taught by at most `teachers` documents of each of at most `languages` languages, an excerpt of each."""
+    got = _excerpts(docs, teachers, languages)
+    names = sorted({lang for lang, _ in got})
+    network = Network(names)
+    if len(names) < 2:
         return network
     random, windows, answers = np.random.default_rng(3), [], []
-    for r in sorted((r.lang, r.part) for r in got):
-        raw = _LOWER[np.frombuffer(r[1].encode("utf-8"), np.uint8)]
+    for lang, text in got:
+        raw = _LOWER[np.frombuffer(text.encode("utf-8"), np.uint8)]
         for _ in range(4):
             at = int(random.integers(0, max(1, len(raw) - LEARN_WIDTH)))
             part = raw[at : at + LEARN_WIDTH]
             windows.append(np.concatenate([part, np.full(LEARN_WIDTH - len(part), 32, np.uint8)]))
-            answers.append(languages.index(r[0]))
+            answers.append(names.index(lang))
     return network.fit(np.stack(windows), np.array(answers))
 
 
