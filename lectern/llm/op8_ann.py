@@ -9,10 +9,13 @@ Parts are dealt in blocks of bounded size and queries in blocks too, so neither
 a third of the rows share, nor many queries meet in one task; nothing is capped. Blocks keep the best `k` each,
 which are ranked together.
 
+Tables of every size are routed; there is a single part only where the sample has too few distinct vectors to be
+cut in two. Queries whose parts held fewer than `k` distinct candidates are searched again in all parts.
+
 Defined results: vectors that are null, empty, zero or hold a null or non-finite component, rows without vec_id,
 and vectors of another length than most take no part; equal scores go to the smaller vec_id; rows that repeat a
-vec_id count once in a block, with their best score; a query never finds its own vec_id; with fewer than `k`
-candidates it gets all that it was routed to, and all there are in tables no larger than SMALL rows.
+vec_id count once, with their best score; a query never finds its own vec_id; with fewer than `k` candidates in
+the table it gets all of them.
 """
 
 from __future__ import annotations
@@ -28,10 +31,10 @@ from pyspark.sql import types as T
 from lectern.llm.op5_jaccard import _Groups
 from lectern.llm.textkit import small_batches, stored, thinned
 
-#: Vectors the index is fitted on, queries that recall is measured with, recall asked for there.
-SAMPLE, PROBES, RECALL = 8192, 512, 0.97
-#: Rows a part should hold, most parts, rows and queries in one block, tables searched in a single part.
-PART_ROWS, PARTS, BLOCK, QUERY_BLOCK, SMALL = 2048, 64, 4096, 2048, 4096
+#: Vectors the index is fitted on: at least, for each part, at most; queries that recall is measured with, recall asked for.
+SAMPLE, PART_SAMPLE, SAMPLE_MOST, PROBES, RECALL = 8192, 32, 16384, 512, 0.97
+#: Rows a part should hold, most parts, distinct sample vectors a part needs, rows and queries in one block.
+PART_ROWS, PARTS, PART_VECTORS, BLOCK, QUERY_BLOCK = 2048, 512, 16, 4096, 2048
 NEIGHBOURS, HIDDEN, EPOCHS = 10, 96, 30
 
 
@@ -147,21 +150,54 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def _index(rows: DataFrame, total: int, k: int, recall: float) -> tuple[Router | None, int]:
+    """A router fitted on a bounded sample of `total` vectors, and how many parts a query visits; no router where
+    the sample's distinct vectors do not make two parts."""
+    if not total:
+        return None, 1
+    wanted = min(PARTS, 1 << max(1, round(np.log2(total / PART_ROWS))))
+    size = min(SAMPLE_MOST, max(SAMPLE, PART_SAMPLE * wanted))
+    key = F.xxhash64("vec_id", "v")
+    first = lambda frame: frame.orderBy(key, "vec_id", "v").limit(size).select("v").collect()
+    picked = first(rows.where(thinned(key, size, total))) or first(rows.distinct())
+    sample = np.unique(np.array([r.v for r in picked]), axis=0)
+    parts = min(wanted, 1 << max(0, int(np.log2(max(1, len(sample) / PART_VECTORS)))))
+    return fitted(sample, parts, k, recall) if parts > 1 else (None, 1)
+
+
+def _searched(known: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the best of the rows `known` (vec_id, v, part) for the queries `asked` (vec_id, v,
+    part, a row for each part they visit), block by block; at least `k` of each query if its parts have them."""
+    load = known.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    asks = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_blocks"))
+    plan = F.broadcast(load.join(asks, "part").limit(PARTS))  # a row for each part
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")
+    held = known.join(plan, "part").select("part", own("blocks", 1).alias("block"), spread("q_blocks").alias("q_block"), F.lit(0).alias("role"), "vec_id", "v")
+    queries = asked.join(plan, "part").select("part", spread("blocks").alias("block"), own("q_blocks", 2).alias("q_block"), F.lit(1).alias("role"), "vec_id", "v")
+    dealt = held.unionByName(queries).repartition("part", "block", "q_block").sortWithinPartitions("part", "block", "q_block", "role", "vec_id")
+    out = T.StructType().add("query_id", "long").add("vec_id", "long").add("score", "double")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group, starts in _Groups(batches, 3):
+            ends = np.append(starts[1:], len(group))
+            ids, role = group.column("vec_id").to_numpy(), group.column("role").to_numpy()
+            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+                x = np.frombuffer(b"".join(group.column("v").slice(a, b - a).to_pylist()), np.float64).reshape(b - a, -1)
+                cut = int((role[a:b] == 0).sum())
+                found = _best(ids[a : a + cut], x[:cut], ids[a + cut : b], x[cut:], k)
+                if len(found[0]):
+                    yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=out.fieldNames())
+
+    return dealt.mapInArrow(search, out).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+
+
 def nearest(table: DataFrame, every: int = 20, k: int = 20, recall: float = RECALL) -> DataFrame:
     """(query_id, rank, vec_id, score) for the rows whose vec_id is divisible by `every`, against all rows."""
     spark = table.sparkSession
     small_batches(spark)
     rows = clean_vectors(table)
-    total = rows.count()
-    parts, visits, router = 1, 1, None
-    if total > SMALL:
-        parts = min(PARTS, 1 << max(1, round(np.log2(total / PART_ROWS))))
-        picked = rows.where(thinned(F.col("vec_id"), SAMPLE, total)).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-        sample = np.unique(np.array([r.v for r in picked]), axis=0)
-        if len(sample) < 8 * parts:
-            parts = 1
-        else:
-            router, visits = fitted(sample, parts, k, recall)
+    router, visits = _index(rows, rows.count(), k, recall)
     shared = spark.sparkContext.broadcast(router)
     routed = T.StructType().add("vec_id", "long").add("v", "binary").add("parts", T.ArrayType(T.IntegerType()))
 
@@ -174,31 +210,14 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, recall: float = RECA
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary()), pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=routed.fieldNames())
 
     known = stored(rows.mapInArrow(route, routed), "routed")
-    asks = F.pmod(F.col("vec_id"), F.lit(every)) == 0
-    load = known.groupBy(F.col("parts")[0].alias("part")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    asked = known.where(asks).select(F.explode("parts").alias("part")).groupBy("part").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("q_blocks"))
-    plan = F.broadcast(load.join(asked, "part").limit(PARTS))  # a row for each part
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.col(n)).cast("int")
-    held = known.select("vec_id", "v", F.col("parts")[0].alias("part")).join(plan, "part")
-    held = held.select("part", own("blocks", 1).alias("block"), spread("q_blocks").alias("q_block"), F.lit(0).alias("role"), "vec_id", "v")
-    queries = known.where(asks).select("vec_id", "v", F.explode("parts").alias("part")).join(plan, "part")
-    queries = queries.select("part", spread("blocks").alias("block"), own("q_blocks", 2).alias("q_block"), F.lit(1).alias("role"), "vec_id", "v")
-    dealt = held.unionByName(queries).repartition("part", "block", "q_block").sortWithinPartitions("part", "block", "q_block", "role", "vec_id")
-    out = T.StructType().add("query_id", "long").add("vec_id", "long").add("score", "double")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group, starts in _Groups(batches, 3):
-            ends = np.append(starts[1:], len(group))
-            ids, role = group.column("vec_id").to_numpy(), group.column("role").to_numpy()
-            for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-                x = np.frombuffer(b"".join(group.column("v").slice(a, b - a).to_pylist()), np.float64).reshape(b - a, -1)
-                cut = int((role[a:b] == 0).sum())
-                found = _best(ids[a : a + cut], x[:cut], ids[a + cut : b], x[cut:], k)
-                if len(found[0]):
-                    yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=out.fieldNames())
-
-    pairs = dealt.mapInArrow(search, out).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    held = known.select("vec_id", "v", F.col("parts")[0].alias("part"))
+    asks = known.where(F.pmod(F.col("vec_id"), F.lit(every)) == 0)
+    pairs = stored(_searched(held, asks.select("vec_id", "v", F.explode("parts").alias("part")), k), "pairs")
+    enough = pairs.groupBy(F.col("query_id").alias("vec_id")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = stored(asks.select("vec_id", "v").join(enough, "vec_id", "left_anti"), "short")
+    if not short.isEmpty():
+        everywhere = F.explode(F.sequence(F.lit(0), F.lit(len(router.w[3]) - 1 if router else 0))).alias("part")
+        pairs = pairs.join(short.select(F.col("vec_id").alias("query_id")), "query_id", "left_anti").unionByName(_searched(held, short.select("vec_id", "v", everywhere), k))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
