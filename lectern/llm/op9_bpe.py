@@ -4,7 +4,9 @@ A vocabulary file of the tokenizers library (byte-level BPE with word ends) is r
 are split into pieces as that library splits them; the pieces not met before are merged together: the symbols
 of all of them lie in one flat array, each round finds every neighbour pair's rank by binary search over the
 sorted pair keys, and merges the lowest-ranked pair of each word at once. A bounded memo keeps what a worker
-has already merged.
+has already merged. A round looks at every symbol of its words, so words of more than LONG bytes (base64, genomes)
+are merged apart: their first ranks come from the same binary search, and a heap then takes the lowest-ranked pair
+and ranks only the two pairs that it changes, which is linearithmic in the word.
 
 Defined results: a null or blank text has no ids and decodes to the empty string; the special strings of the
 vocabulary become their own ids, as the library does; repeated rows each keep a row; whole texts are encoded.
@@ -13,6 +15,7 @@ vocabulary become their own ids, as the library does; repeated rows each keep a
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 import unicodedata
@@ -30,6 +33,8 @@ from lectern.llm.textkit import row_chunks, small_batches
 
 #: Pieces a worker remembers, and characters of text in one round of merging.
 MEMO, CHUNK_CHARS, VOCABULARY_BYTES = 150_000, 1 << 20, 64 << 20
+#: Bytes of a word from which a heap takes over; such words are not remembered.
+LONG = 256
 _NONE = np.iinfo(np.int64).max
 
 
@@ -63,6 +68,7 @@ class WordBpe:
         self.order = np.argsort(keys)
         self.keys = keys[self.order]
         self.merged = np.array([vocab[a + b] for a, b in pairs], np.int64)
+        self.long: dict[int, tuple[int, int]] | None = None
         self._ready()
 
     def _ready(self) -> None:
@@ -72,12 +78,46 @@ class WordBpe:
         self.text = {i: t.encode("utf-8") for i, t in self.tokens.items()}
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("split", "cut", "memo", "text")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("split", "cut", "memo", "text")} | {"long": None}
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._ready()
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of symbols, found by binary search over the sorted pair keys."""
+        key = left * self.size + right
+        found = np.searchsorted(self.keys, key)
+        found[found == len(self.keys)] = 0
+        return np.where(self.keys[found] == key, self.order[found], _NONE)
+
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word, by a heap of its pairs' ranks and places."""
+        if self.long is None:
+            self.long = {int(key): (int(rank), int(self.merged[rank])) for key, rank in zip(self.keys, self.order, strict=True)}
+        known, size = self.long, self.size
+        flat = np.frombuffer(word, np.uint8)
+        first = self.inner[flat]
+        first[-1] = self.final[flat[-1]]
+        rank = self.ranks(first[:-1], first[1:])
+        some = np.flatnonzero(rank != _NONE)
+        ids, n = first.tolist(), len(first)
+        heap = list(zip(rank[some].tolist(), some.tolist(), strict=True))
+        heapq.heapify(heap)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            found, at = heapq.heappop(heap)
+            ahead = after[at]
+            if ids[at] < 0 or ahead >= n or (pair := known.get(ids[at] * size + ids[ahead])) is None or pair[0] != found:
+                continue  # merged or changed since it was ranked
+            ids[at], ids[ahead], after[at] = pair[1], -1, after[ahead]
+            if after[at] < n:
+                before[after[at]] = at
+            for x in (before[at], at):
+                if x >= 0 and after[x] < n and (pair := known.get(ids[x] * size + ids[after[x]])) is not None:
+                    heapq.heappush(heap, (pair[0], x))
+        return np.array([i for i in ids if i >= 0], np.int64)
+
     def merge(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of non-empty words, one word after another, and the offsets of the words."""
         lengths = np.array([len(w) for w in words], np.int64)
@@ -89,11 +129,7 @@ class WordBpe:
         while len(ids):
             rank = np.full(len(ids), _NONE)
             inside = np.flatnonzero(word[:-1] == word[1:])
-            key = ids[inside] * self.size + ids[inside + 1]
-            found = np.searchsorted(self.keys, key)
-            found[found == len(self.keys)] = 0
-            known = self.keys[found] == key
-            rank[inside[known]] = self.order[found[known]]
+            rank[inside] = self.ranks(ids[inside], ids[inside + 1])
             heads = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             sizes = np.diff(np.append(heads, len(ids)))
             best = np.repeat(np.minimum.reduceat(rank, heads), sizes)
@@ -122,21 +158,21 @@ class WordBpe:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() alone would look at a sigma's context
         return self.split(text.lower())
 
-    def learn(self, pieces: set[str]) -> None:
-        """Merges the pieces that the memo lacks."""
+    def learn(self, pieces: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """Merges the pieces that the memo lacks; returns those too long to be remembered."""
         new = [p for p in pieces if p not in self.memo]
-        if not new:
-            return
-        words = [p for p in new if p not in self.special]
+        raw = {p: p.encode("utf-8", "surrogatepass") for p in new if p not in self.special}
         for p in new:
             if p in self.special:
                 i = self.special[p]
                 self.memo[p] = (np.uint32(i).tobytes(), self.text[i])
-        if words:
-            ids, offsets = self.merge([w.encode("utf-8", "surrogatepass") for w in words])
-            raw, names = ids.astype("<u4").tobytes(), list(map(self.text.__getitem__, ids.tolist()))
-            for w, (a, b) in zip(words, pairwise(offsets.tolist()), strict=True):
-                self.memo[w] = (raw[4 * a : 4 * b], b" ".join(names[a:b]))
+        if words := [p for p, w in raw.items() if len(w) <= LONG]:
+            ids, offsets = self.merge([raw[p] for p in words])
+            flat, names = ids.astype("<u4").tobytes(), list(map(self.text.__getitem__, ids.tolist()))
+            for p, (a, b) in zip(words, pairwise(offsets.tolist()), strict=True):
+                self.memo[p] = (flat[4 * a : 4 * b], b" ".join(names[a:b]))
+        merged = ((p, self.merge_long(w)) for p, w in raw.items() if len(w) > LONG)
+        return {p: (ids.astype("<u4").tobytes(), b" ".join(map(self.text.__getitem__, ids.tolist()))) for p, ids in merged}
 
     def encode_batch(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """For each text: its ids as little-endian unsigned 32-bit integers, and their decoding in UTF-8."""
@@ -144,11 +180,14 @@ class WordBpe:
         new = {p for pieces in split for p in pieces}
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
-        self.learn(new)
+        long = self.learn(new)
+        self.memo.update(long)
         out = []
         for pieces in split:
             got = list(map(self.memo.__getitem__, pieces))
             out.append((b"".join([g[0] for g in got]), b" ".join([g[1] for g in got])))
+        for p in long:
+            del self.memo[p]
         return out
 
     def decode(self, ids: list[int]) -> str:
