@@ -2,7 +2,7 @@
 
 How many sites a line appears on is estimated by a HyperLogLog sketch per line hash, merged by aggregation. A
 line clearly above the threshold is boilerplate, one clearly below is not, and a line near it gets an exact
-distinct count. Lines that occur fewer times than the threshold cannot reach it, so they get no sketch.
+distinct count. Lines that occur fewer times than the threshold cannot reach it.
 
 In the pipeline boilerplate lines are removed from every document that keeps a line of its own; a text all of whose
 lines are boilerplate is left alone, for removal would empty it. The query `op1_lines` follows its SQL twin, which
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.textkit import free_name, small_batches, stored
+from lectern.llm.textkit import KeyFilter, free_name, small_batches, stored
 
 #: Sites that make a line boilerplate; relative band around it that is counted exactly; sketch size (error 2.3 %).
 SITES, BAND, LOG_REGISTERS = 10, 0.15, 11
@@ -36,15 +36,19 @@ def _lines(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def boilerplate(docs: DataFrame, sites: int = SITES) -> DataFrame:
-    """The digests (md5) of lines that appear on `sites` sites or more."""
+    """The digests (md5) of lines that appear on `sites` sites or more.
+
+    Counts and sketches of a line are added up within tasks before they are shuffled, so a line of any frequency
+    costs its reducer a row a task; the same holds for the pairs of line and site behind the exact counts."""
     lines = _lines(docs.where("source IS NOT NULL"), "source")
-    often = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites).select("line")
-    some = lines.join(often, "line", "left_semi")
-    spread = some.groupBy("line").agg(F.hll_sketch_estimate(F.hll_sketch_agg("source", F.lit(LOG_REGISTERS))).alias("spread"))
-    spread = stored(spread.where(F.col("spread") >= sites * (1 - BAND)), "spread")
+    sketch = F.hll_sketch_agg("source", F.lit(LOG_REGISTERS))
+    counted = lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"), F.hll_sketch_estimate(sketch).alias("spread"))
+    spread = stored(counted.where((F.col("n") >= sites) & (F.col("spread") >= sites * (1 - BAND))).drop("n"), "spread")
     sure = spread.where(F.col("spread") > sites * (1 + BAND)).select("line")
     near = spread.where(F.col("spread") <= sites * (1 + BAND)).select("line")
-    exact = lines.join(near, "line", "left_semi").groupBy("line").agg(F.count_distinct("source").alias("n")).where(F.col("n") >= sites)
+    maybe, _ = KeyFilter(near, "line").split(lines)
+    pairs = maybe.distinct().join(near, "line", "left_semi")
+    exact = pairs.groupBy("line").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= sites)
     return sure.unionByName(exact.select("line"))
 
 
