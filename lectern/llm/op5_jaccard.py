@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm.components import components, local_roots
-from lectern.llm.textkit import FOLD, column_bytes, row_chunks, small_batches, stored
+from lectern.llm.textkit import FOLD, KeyFilter, column_bytes, row_chunks, small_batches, stored
 
 SHINGLE, THRESHOLD, TOLERANCE = 5, 0.8, 1e-9
 BANDS, ROWS, STEP = 20, 4, 16
@@ -278,7 +278,8 @@ def links(members: DataFrame, docs: DataFrame) -> DataFrame:
     blocks = F.greatest(F.ceil(F.col("m") / TEXT_BLOCK), F.ceil(F.col("n_all") * 8 / BYTE_BLOCK))
     size = size.select("comp", blocks.alias("blocks"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.md5("text").alias("tid"), "text")
-    rows = texts.join(members, ["rep", "tid"])
+    maybe, _ = KeyFilter(members, "rep", "tid").split(texts)  # so that texts without candidates are not shuffled
+    rows = maybe.join(members, ["rep", "tid"])
     middle = T.StructType().add("key", "binary").add("comp", "binary").add("copies", "long").add("sig", "binary").add("shingles", "binary")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,16 +365,20 @@ def _classed(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document rows, all columns, with one of each class: that of the least doc_id (of repeated rows, one; rows
-    of one doc_id that head different classes all stay)."""
-    found = _classed(docs)
-    heads = found.where("doc_id = class_id AND tid <=> head_tid")
-    stay = heads.select(F.col("doc_id").alias("keep_id"), F.coalesce("tid", F.lit("")).alias("keep_tid"))
+    of one doc_id that head different classes all stay). Only rows that others repeat or join are shuffled."""
+    found = stored(_classed(docs), "classed")
     own = F.coalesce(F.md5("text"), F.lit(""))
-    once = Window.partitionBy("keep_id", "keep_tid").orderBy("keep_id")
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("keep_id"), own.alias("keep_tid"))
-    kept = row.join(stay, ["keep_id", "keep_tid"], "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1")
     lone = row.where("keep_id IS NULL")
-    return kept.select("row.*").unionByName(lone.select("row.*"))
+    key = [F.col("doc_id").alias("keep_id"), F.coalesce("tid", F.lit("")).alias("keep_tid")]
+    heads = F.col("doc_id").eqNullSafe(F.col("class_id")) & F.col("tid").eqNullSafe(F.col("head_tid"))
+    judged = found.where("doc_id IS NOT NULL").select(*key, heads.alias("stays")).groupBy("keep_id", "keep_tid").agg(F.count(F.lit(1)).alias("n"), F.max("stays").alias("stays"))
+    changed = stored(judged.where("n > 1 OR NOT stays"), "changed")
+    some, rest = KeyFilter(changed, "keep_id", "keep_tid").split(row.where("keep_id IS NOT NULL"))
+    once = Window.partitionBy("keep_id", "keep_tid").orderBy("keep_id")
+    firsts = some.withColumn("nth", F.row_number().over(once)).where("nth = 1")  # tasks drop repeats before they shuffle
+    kept = firsts.join(changed, ["keep_id", "keep_tid"], "left").where(F.coalesce("stays", F.lit(True)))
+    return rest.select("row.*").unionByName(kept.select("row.*")).unionByName(lone.select("row.*"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
