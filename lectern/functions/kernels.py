@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions import patterns as P
+
 # English number words.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen"
 TENS = "twenty thirty forty fifty sixty seventy eighty ninety"
@@ -19,62 +21,58 @@ ORDINAL_ONES = "zeroth first second third fourth fifth sixth seventh eighth nint
 ORDINAL_TENS = "twentieth thirtieth fortieth fiftieth sixtieth seventieth eightieth ninetieth"
 SCALES = {"hundred": 100, "thousand": 10**3, "million": 10**6, "billion": 10**9, "trillion": 10**12}
 
-_UNIT = {w: Decimal(i) for words in (ONES, ORDINAL_ONES) for i, w in enumerate(words.split())}
-_UNIT |= {w: Decimal(10 * i) for words in (TENS, ORDINAL_TENS) for i, w in enumerate(words.split(), 2)}
-_SCALE = {w + end: Decimal(n) for w, n in SCALES.items() for end in ("", "th")}
-_NUMBER_TOKEN = re.compile(r"\d[\d,]*(?:\.\d+)?|[a-z]+")
-
-
-def _kind(token: str | None) -> str:
-    if token is None:
-        return "end"
-    if token in _UNIT:
-        return "unit"
-    if token in _SCALE:
-        return "scale"
-    if token[0].isdigit():
-        return "digits"
-    return token if token in ("a", "an", "and") else "other"
-
-
-def _phrase(tokens: list[str], at: int) -> tuple[Decimal, int] | None:
-    """The value of the number phrase that begins at a token, and where it ends. Neighbouring words add up; a scale
-    multiplies what was gathered since the last one; digits begin only where nothing is gathered."""
-    begun, closed, open_ = False, Decimal(0), Decimal(0)
-    while at < len(tokens):
-        kind, ahead = _kind(tokens[at]), _kind(tokens[at + 1] if at + 1 < len(tokens) else None)
-        number_ahead = ahead in ("unit", "scale", "digits")
-        if kind == "unit":
-            open_ += _UNIT[tokens[at]]
-        elif kind == "scale" and _SCALE[tokens[at]] == 100:
-            open_ = (open_ or Decimal(1)) * 100
-        elif kind == "scale":
-            closed, open_ = closed + (open_ or Decimal(1)) * _SCALE[tokens[at]], Decimal(0)
-        elif kind == "digits" and not open_:
-            open_ = Decimal(tokens[at].replace(",", ""))
-        elif kind in ("a", "an") and number_ahead:
-            open_ += 1
-        elif kind == "and" and begun and (number_ahead or ahead in ("a", "an")):
-            at += 1
-            continue
-        else:
-            break
-        begun, at = True, at + 1
-    return (closed + open_, at) if begun else None
+_VALUE = {w: i for words in (ONES, ORDINAL_ONES) for i, w in enumerate(words.split())}
+_VALUE |= {w: 10 * i for words in (TENS, ORDINAL_TENS) for i, w in enumerate(words.split(), 2)}
+_VALUE |= {w + end: n for w, n in SCALES.items() for end in ("", "th")} | {"a": 1, "an": 1}
+_TOKEN = re.compile(r"\d[\d,]*(?:\.\d+)?|[a-z]+")
+
+# Number phrases as a regular language over one letter for each token: z a word for zero, u another number word below
+# a hundred, h hundred, s a larger scale, q digits that are zero, d other digits, a an article, n "and", x anything else.
+# Digits open the count before a scale; an article needs a number after it, "and" a number on both sides.
+_LETTERS = {w: "z" if not v else "h" if v == 100 else "s" if v > 100 else "u" for w, v in _VALUE.items()} | {"a": "a", "an": "a", "and": "n"}
+_COUNT = r"(?:[zq]|n(?=[zuhsqda]))*d?(?:[zuh]|a(?=[zuhsqd])|n(?=[zuhsqda]))*"
+_PHRASE = re.compile(rf"(?!n)(?=[^x]){_COUNT}(?:s{_COUNT})*")
+
+
+def _number(token: str) -> Decimal:
+    return Decimal(token.replace(",", "")) if token[0].isdigit() else Decimal(_VALUE[token])
+
+
+def _counted(letters: str, tokens: list[str]) -> Decimal:
+    """The number that words before a scale make: they add up, and hundred multiplies what is before it."""
+    total = Decimal(0)
+    for letter, token in zip(letters, tokens, strict=True):
+        if letter == "h":
+            total = (total or 1) * Decimal(100)
+        elif letter != "n":
+            total += _number(token)
+    return total
+
+
+def _worth(letters: str, tokens: list[str]) -> Decimal:
+    """The value of a number phrase: each scale times the count before it (one, if there is none), and what follows."""
+    total, at = Decimal(0), 0
+    for m in re.finditer("s", letters):
+        total += (_counted(letters[at : m.start()], tokens[at : m.start()]) or 1) * _number(tokens[m.start()])
+        at = m.end()
+    return total + _counted(letters[at:], tokens[at:])
 
 
 def number_forms_of(text: str | None) -> list[str]:
     """The digit forms of every English number phrase; every token may begin one."""
-    tokens, forms = _NUMBER_TOKEN.findall((text or "").lower()), set()
+    tokens, forms = _TOKEN.findall((text or "").lower()), set()
+    kind = lambda t: _LETTERS.get(t, "x") if not t[0].isdigit() else "d" if t.strip("0,.") else "q"
+    letters = "".join(map(kind, tokens))
     for at in range(len(tokens)):
-        if not (found := _phrase(tokens, at)):
+        found = _PHRASE.match(letters, at)
+        if not found or found.end() == at:
             continue
-        value, end = found
+        end = found.end()
+        value = _worth(found[0], tokens[at:end])
+        whole = value == value.to_integral_value()
+        name = str(int(value)) if whole else f"{value.normalize():f}"
         percent = tokens[end : end + 1] == ["percent"] or tokens[end : end + 2] == ["per", "cent"]
-        if value == value.to_integral_value():
-            forms |= {str(int(value))} | ({f"{int(value)}%"} if percent else set())
-        elif percent:
-            forms.add(f"{value.normalize():f}%")
+        forms |= ({name} if whole else set()) | ({f"{name}%"} if percent else set())
     return sorted(forms)
 
 
@@ -109,30 +107,18 @@ def match_form(text: pd.Series) -> pd.Series:
     return text.map(match_form_of)
 
 
-# What counts as leftover markup.
-_LEFTOVERS = (
-    ("autolink", re.compile(r"<(https?://[^>]+|[^@\s>]+@[^>\s]+)>")),
-    ("link", re.compile(r"!?\[([^\]]*)\]\([^)]*\)")),
-    ("code", re.compile(r"`+([^`]*?)`+")),
-    ("emphasis", re.compile(r"(\*\*|__)(?P<a>.+?)\1|(\*|_)(?P<b>.+?)\3|~~(?P<c>.+?)~~")),
-    ("html", re.compile(r"<[^>]*>")),
-)
+_LEFTOVERS = [(kind, re.compile(pattern), kept) for kind, pattern, kept in P.LEFTOVERS]
 
 
 def without_markup(text: str | None) -> tuple[str, list[str]]:
-    """A text without leftover markup, and the kinds that were found, in the order they are removed."""
-    out, touched = text or "", []
-    for kind, pattern in _LEFTOVERS:
-        if not pattern.search(out):
-            continue
-        touched.append(kind)
-        if kind == "emphasis":
-            last = None
-            while last != out:
-                last, out = out, pattern.sub(lambda m: m["a"] or m["b"] or m["c"] or "", out)
-        else:
-            out = pattern.sub("" if kind == "html" else r"\1", out)
-    return re.sub(r"[ \t]{2,}", " ", out).strip(), touched
+    """A text without leftover markup, and the kinds that were found. Emphasis nests, so it is removed until none is left."""
+    out, kinds = text or "", []
+    for kind, pattern, kept in _LEFTOVERS:
+        out, hits = pattern.subn(kept, out)
+        kinds += [kind] if hits else []
+        while hits and kind == "emphasis":
+            out, hits = pattern.subn(kept, out)
+    return re.sub(r"[ \t]{2,}", " ", out).strip(), kinds
 
 
 @F.pandas_udf(T.StructType().add("text", "string").add("touched", "string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -25,11 +26,6 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(strip(text), r"(?U)(?<=[.!?])\s+"), lambda s: strip(s) != "")
 
 
-def lines(text: Column) -> Column:
-    """The text's lines, whatever its line ends."""
-    return F.split(F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n")), "\n", -1)
-
-
 def slug(title: Column) -> Column:
     """A file-name form of a title: at most 60 characters of a-z, 0-9 and single dashes; `episode` if none is left."""
     dashed = F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), F.lit("-"))
@@ -55,35 +51,29 @@ def spoken_date(raw: Column) -> Column:
 
 def spoken(text: Column) -> Column:
     """Text for reading aloud: section signs spelled, URLs and what they leave behind removed."""
-    out = F.regexp_replace(text, r"(?U)§\s*(\d+)", "section $1")
-    out = F.regexp_replace(out, P.URL, "")
-    out = F.regexp_replace(out, r"(?U)\(\s*\)|\[\s*\]", "")
-    out = F.regexp_replace(out, r"(?U),\s*([.,;:!?])", "$1")
-    out = F.regexp_replace(out, r"(?U)\s+([.,;:!?])", "$1")
+    out = F.regexp_replace(F.regexp_replace(text, P.SECTION_SIGN, "section $1"), P.URL, "")
+    out = F.regexp_replace(F.regexp_replace(out, P.ORPHANS, ""), P.LOOSE_COMMA, "$1")
+    out = F.regexp_replace(out, P.LOOSE_STOP, "$1")
     return strip(F.regexp_replace(out, r"[ \t]{2,}", " "))
 
 
 def identifier_words(code: Column) -> Column:
     """An identifier as words: snake, kebab and camel boundaries become blanks."""
-    bare = F.regexp_replace(strip(code), r"""^[.,;:!?()\[\]{}'"]+|[.,;:!?()\[\]{}'"]+$""", "")
-    parted = F.regexp_replace(F.translate(bare, "_-", "  "), r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    bare = F.regexp_replace(strip(code), P.CODE_EDGE, "")
+    parted = F.regexp_replace(F.translate(bare, "_-", "  "), P.CAMEL, " ")
     return strip(F.regexp_replace(parted, r"[ \t]{2,}", " "))
 
 
 def spoken_code(code: Column) -> Column:
     """An inline-code span for reading aloud; empty where it is to be dropped."""
     text = strip(code)
-    words = identifier_words(F.replace(F.regexp_replace(text, r"[()\[\]{}'\"`]", " "), F.lit("."), F.lit(" ")))
-    dropped = (
-        text.rlike(r"(?U)^(https?://\S+|www\.\S+)$") | text.rlike("^https?://") | text.rlike(r"(?U)^[A-Za-z_]+:\d{4}(?:\d{2})?/[^\s\])]+$")
-        | text.rlike(r"(?U)^[\w.\-/]+\.\w+:\d+(?::\d+)?$")
-        | (F.replace(text, F.lit(" "), F.lit("")).rlike("^[0-9a-fA-F]{7,64}$") & text.rlike("[a-fA-F]"))
-        | text.rlike(r"(?U)[\w.\-]/[\w.\-]") | (text == "")
-    )
+    words = identifier_words(F.replace(F.regexp_replace(text, P.CODE_MARKS, " "), F.lit("."), F.lit(" ")))
+    sha = F.replace(text, F.lit(" "), F.lit("")).rlike(P.CODE_SHA) & text.rlike("[a-fA-F]")
+    dropped = reduce(Column.__or__, (text.rlike(p) for p in P.CODE_DROPPED), (text == "") | sha)
     return (
         F.when(dropped, "")
-        .when(text.rlike("^[a-zA-Z0-9]$"), F.concat(F.lit("the "), text, F.lit(" key")))
-        .when(text.rlike(r"(?U)^\d[\d.,%\-+]*$"), text)
+        .when(text.rlike(P.CODE_KEY), F.concat(F.lit("the "), text, F.lit(" key")))
+        .when(text.rlike(P.CODE_NUMBER), text)
         .otherwise(words)
     )
 
@@ -120,10 +110,9 @@ def normal_url(url: Column) -> Column:
 
 def paper_id(url: Column) -> Column:
     """The paper id of an arXiv page URL, else null; `.pdf` may end it only under /pdf/."""
-    ident = r"(?:\d{4}\.\d{4,5}(?:v\d+)?|[a-z]+(?:-[a-z]+)*(?:\.[A-Za-z]{2})?/\d{7}(?:v\d+)?)"
     text = strip(url)
     host = F.lower(F.try_parse_url(text, F.lit("HOST")))
     path = F.try_parse_url(text, F.lit("PATH"))
-    plain, pdf = F.regexp_extract(path, f"^/(?:abs|html|pdf)/({ident})/?$", 1), F.regexp_extract(path, rf"^/pdf/({ident})(?:\.pdf)?/?$", 1)
+    plain, pdf = F.regexp_extract(path, f"^/(?:abs|html|pdf)/({P.PAPER})/?$", 1), F.regexp_extract(path, rf"^/pdf/({P.PAPER})(?:\.pdf)?/?$", 1)
     ours = F.lower(F.try_parse_url(text, F.lit("PROTOCOL"))).isin("http", "https") & host.isin("arxiv.org", "www.arxiv.org", "export.arxiv.org")
     return F.when(ours, F.coalesce(F.nullif(plain, F.lit("")), F.nullif(pdf, F.lit(""))))

@@ -1,131 +1,161 @@
-"""Lint of narration scripts: 27 rules as one pass of window context and one array of findings a line."""
+"""Lint of narration scripts: every rule as an expression over the lines, paragraphs and chapters of one row.
+
+The text is scanned once and nothing is shuffled; findings come out as an array in order, one row a script, or as
+rows. Number fidelity (W013) is judged against the script's own `source_text`, where it has one.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.functions import kernels
 from lectern.functions import patterns as P
-from lectern.functions.text import sentences, strip, word_count
-
-FRONTMATTER = r"(?s)\A---[ \t]*\n(.*?)\n---[ \t]*(?:\n|\z)"
+from lectern.functions.text import sentences, word_count
+from lectern.operators.scripts import chosen, frontmatter, is_first_version, with_chapters, with_lines, with_paragraphs
 
+_FOUND = "array<struct<line:int,col:int,rule:string,key:string,detail:string>>"
 
-def script_lines(scripts: DataFrame) -> DataFrame:
-    """(script_id, line, text, marker, fenced, chapter, heading) of every body line; line numbers start at 1."""
-    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
-    front = F.regexp_extract(text, FRONTMATTER, 0)
-    head = F.when(front != "", F.length(front) - F.length(F.replace(front, F.lit("\n"), F.lit("")))).otherwise(0)
-    rows = scripts.select("script_id", head.alias("head"), F.posexplode(F.split(text, "\n", -1)).alias("pos", "text")).where("pos >= head")
-    order = Window.partitionBy("script_id").orderBy("pos")
-    marker, heading = F.col("text").rlike(P.FENCE), F.regexp_extract("text", P.HEADING, 1)
-    rows = rows.select("script_id", (F.col("pos") + 1).alias("line"), "text", "pos", marker.alias("marker"))
-    rows = rows.withColumn("fenced", (F.sum(F.col("marker").cast("int")).over(order) % 2 == 1) & ~F.col("marker"))
-    rows = rows.withColumn("heading", F.when(F.col("marker") | F.col("fenced"), "").otherwise(heading))
-    return rows.withColumn("chapter", F.sum((F.col("heading") == "##").cast("int")).over(order)).drop("pos")
 
-
-def _found(rule: str, severity: str, when: Column, col: Column | int = 1) -> Column:
+def _found(key: str, when: Column, line: Column, col: Column | int = 1, detail: Column | None = None) -> Column:
+    """A finding where `when` holds, else null; its fields are in the order that findings are sorted by."""
     place = F.lit(col) if isinstance(col, int) else col
-    return F.when(when, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), place.cast("int").alias("col")))
+    parts = [line.cast("int").alias("line"), place.cast("int").alias("col"), F.lit(key[:4]).alias("rule"), F.lit(key).alias("key"), (F.lit("") if detail is None else detail.cast("string")).alias("detail")]
+    return F.when(when, F.struct(*parts))
 
 
-def _first(pattern: str) -> Column:
-    """The place of a pattern's first match in the line, 0 if none."""
-    gap = F.element_at(F.split("text", pattern, 2), 1)
-    return F.when(F.col("text").rlike(pattern), F.length(gap) + 1).otherwise(0)
+def _kept(findings: list[Column]) -> Column:
+    return F.filter(F.array(*findings), lambda f: f.isNotNull()).cast(_FOUND)
 
 
-def line_findings(lines: DataFrame) -> DataFrame:
-    """(script_id, line, rule, severity, col): the rules that look at a single line."""
-    text, head = F.col("text"), F.col("heading") != ""
-    live = ~F.col("marker") & ~F.col("fenced") & (strip(text) != "")
-    sha = F.regexp_extract(text, P.SHA, 0)
-    file_line, path = _first(P.FILE_LINE), _first(P.PATH)
-    around = F.substring(text, F.greatest(path - 6, F.lit(1)), F.length(F.regexp_extract(text, P.PATH, 0)) + 6)
-    emphasis = text.contains("**") | text.contains("__") | text.contains("~~") | text.rlike(P.STAR_EMPHASIS) | text.rlike(P.LINE_EMPHASIS)
-    rules = [
-        _found("R003", "error", F.col("marker")),
-        _found("S006", "error", live & head & (F.col("heading") != "##")),
-        _found("S007", "error", live & ~head & (F.col("chapter") == 0)),
-        _found("R001", "error", live & ~head & text.rlike(P.LIST_ITEM)),
-        _found("R002", "error", live & ~head & text.contains("|"), F.instr(text, "|")),
-        _found("R004", "error", live & text.contains("`"), F.instr(text, "`")),
-        _found("R005", "error", live & text.rlike(P.LINK), _first(P.LINK)),
-        _found("R006", "error", live & text.rlike(P.HTML_TAG) & ~text.rlike(P.AUTOLINK), _first(P.HTML_TAG)),
-        _found("R007", "error", live & emphasis),
-        _found("W001", "warning", live & text.rlike(P.URL), _first(P.URL)),
-        _found("W003", "warning", live & (file_line > 0), file_line),
-        _found("W002", "warning", live & (file_line == 0) & (path > 0) & ~around.contains("://"), path),
-        _found("W004", "warning", live & sha.rlike("[a-fA-F]"), _first(P.SHA)),
-        _found("W005", "warning", live & text.rlike(P.REFERENCE), _first(P.REFERENCE)),
-        _found("W006", "warning", live & text.contains("§"), F.instr(text, "§")),
-        _found("W007", "warning", live & text.rlike("[" + "".join(P.SYMBOLS) + "]"), F.coalesce(*[F.nullif(F.instr(text, s), F.lit(0)) for s in P.SYMBOLS])),
-    ]
-    return lines.select("script_id", "line", F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("f")).select("script_id", "line", "f.*")
-
-
-def paragraphs(lines: DataFrame) -> DataFrame:
-    """(script_id, chapter, first_line, words, text): runs of neighbouring lines of a chapter's text."""
-    body = lines.where((~F.col("marker")) & (~F.col("fenced")) & (F.col("heading") != "##") & (strip(F.col("text")) != "") & (F.col("chapter") > 0))
-    run = F.col("line") - F.row_number().over(Window.partitionBy("script_id", "chapter").orderBy("line"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: strip(x["text"])), " ")
-    return body.withColumn("run", run).groupBy("script_id", "chapter", "run").agg(F.min("line").alias("first_line"), joined.alias("text")).withColumn("words", word_count(F.col("text"))).drop("run")
-
-
-def chapter_words(lines: DataFrame) -> DataFrame:
-    """(script_id, chapter, line, title, words): a chapter's words are its heading's and its paragraphs'."""
-    heads = lines.where("heading = '##'").select("script_id", "chapter", "line", strip(F.regexp_replace("text", r"^##", "")).alias("title"))
-    body = paragraphs(lines).groupBy("script_id", "chapter").agg(F.sum("words").alias("body"))
-    return heads.join(body, ["script_id", "chapter"], "left").select("script_id", "chapter", "line", "title", (word_count(F.col("title")) + F.coalesce("body", F.lit(0))).alias("words"), F.col("body").isNull().alias("empty"))
-
-
-def block_findings(lines: DataFrame) -> DataFrame:
-    """The rules on chapters and paragraphs: S004, S005, W008, W009 and W010."""
-    parts, chapters = paragraphs(lines), chapter_words(lines)
-    blank = F.lit(1).alias("col")
-    per = lambda rule, rows, line: rows.select("script_id", F.col(line).alias("line"), F.lit(rule).alias("rule"), F.lit("error" if rule[0] == "S" else "warning").alias("severity"), blank)
-    none = lines.groupBy("script_id").agg(F.max("chapter").alias("n")).where("n = 0").withColumn("line", F.lit(1))
-    long = F.exists(sentences(F.col("text")), lambda s: word_count(s) > P.SENTENCE_WORDS)
-    return (
-        per("S004", none, "line")
-        .unionByName(per("S005", chapters.where("empty"), "line"))
-        .unionByName(per("W008", chapters.where(F.col("words") > P.CHAPTER_WORDS), "line"))
-        .unionByName(per("W009", parts.where(F.col("words") > P.PARAGRAPH_WORDS), "first_line"))
-        .unionByName(per("W010", parts.where(long), "first_line"))
-    )
+def _at(text: Column, pattern: str) -> Column:
+    """The place of a pattern's first match, in characters; 0 if there is none."""
+    return F.when(text.rlike(pattern), F.length(F.element_at(F.split(text, pattern, 2), 1)) + 1).otherwise(0)
 
 
-def meta_findings(scripts: DataFrame) -> DataFrame:
-    """S001 to S003, W011 and W012 from the frontmatter's scalar keys and the script's words."""
-    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    front = F.regexp_extract(text, FRONTMATTER, 1)
-    has = text.rlike(FRONTMATTER)
-    key = lambda name: F.regexp_replace(strip(F.regexp_extract(front, rf"(?m)^{name}[ \t]*:[ \t]*(.*)$", 1)), r"""^["']|["']$""", "")
-    words = chapter_words(script_lines(scripts)).groupBy("script_id").agg(F.sum("words").alias("words"))
-    rows = scripts.join(words, "script_id", "left").withColumn("words", F.coalesce("words", F.lit(0)))
-    budget = lambda at: F.coalesce(*[F.when(key("edition") == e, F.lit(b[at])) for e, b in P.BUDGETS.items()])
-    unknown = lambda name, known: has & (key(name) != "") & ~key(name).isin(*known)
+def line_findings(x: Column) -> Column:
+    """What is wrong with one line, by itself."""
+    text, line, head = x["text"], x["line"], x["level"] > 0
+    fence = _kept([_found("R003", F.lit(True), line, F.instr(text, "`"))])
+    base = F.when(x["level"] == 2, 4).otherwise(1)
+    checked = F.when(x["level"] == 2, x["title"]).otherwise(text)
+    # A cheap look for the marks that a pattern needs spares most lines the pattern.
+    has = lambda *marks: reduce(Column.__and__, (text.contains(m) for m in marks))
+    sha = F.when(text.rlike("[0-9a-fA-F]{7}"), F.regexp_extract(text, P.SHA, 0)).otherwise("")
+    file_line, path = (F.when(has(mark), _at(text, p)).otherwise(0) for mark, p in ((":", P.FILE_LINE), ("/", P.PATH)))
+    around = F.substring(text, F.greatest(path - 6, F.lit(1)), F.least(path - 1, F.lit(6)) + F.length(F.regexp_extract(text, P.PATH, 0)))
+    emphasis = text.contains("**") | text.contains("__") | text.contains("~~") | (has("*") & text.rlike(P.STAR_EMPHASIS)) | (has("_") & text.rlike(P.LINE_EMPHASIS))
+    symbol = F.element_at(F.filter(F.array(*[F.when(checked.contains(s), F.lit(s)) for s in P.SYMBOLS]), lambda s: s.isNotNull()), 1)
     rules = [
-        _found("S001", "error", ~has),
-        _found("S001", "error", unknown("kind", ("research", "document", "article"))),
-        _found("S001", "error", unknown("edition", ("full", "brief", "digest", "verbatim"))),
-        _found("S002", "error", has & (key("narration") != "1")),
-        _found("S003", "error", has & (key("title") == "")),
-        _found("W011", "warning", F.col("words") > budget(1)),
-        _found("W012", "warning", (F.col("words") < budget(2)) & (F.col("words") > 0)),
+        _found("S006", head & (x["level"] != 2), line, 1, F.repeat(F.lit("#"), x["level"])),
+        _found("S007", ~head & (x["chapter"] == 0), line),
+        _found("R001", ~head & text.rlike(P.LIST_ITEM), line),
+        _found("R002", ~head & text.contains("|"), line, F.instr(text, "|")),
+        _found("R004", text.contains("`"), line, F.instr(text, "`")),
+        _found("R005", has("[") & text.rlike(P.LINK), line, _at(text, P.LINK)),
+        _found("R006", has("<") & text.rlike(P.HTML_TAG) & ~text.rlike(P.AUTOLINK), line, _at(text, P.HTML_TAG)),
+        _found("R007", emphasis, line, base),
+        _found("W001", text.rlike("://|www") & text.rlike(P.URL), line, _at(text, P.URL)),
+        _found("W003", file_line > 0, line, file_line),
+        _found("W002", (file_line == 0) & (path > 0) & ~around.contains("://"), line, path),
+        _found("W004", sha.rlike("[a-fA-F]"), line, _at(text, P.SHA)),
+        _found("W005", has(":", "/") & text.rlike(P.REFERENCE), line, _at(text, P.REFERENCE)),
+        _found("W006", text.contains("§"), line, F.instr(text, "§")),
+        _found("W007", checked.rlike("[" + "".join(P.SYMBOLS) + "]"), line, F.instr(checked, symbol) - 1 + base, symbol),
     ]
-    return rows.select("script_id", F.lit(1).alias("line"), F.explode(F.filter(F.array(*rules), lambda r: r.isNotNull())).alias("f")).select("script_id", "line", "f.*")
+    live = ~x["fenced"] & text.rlike(r"(?U)\S")
+    return F.when(x["marker"], fence).when(live, _kept(rules)).otherwise(F.array().cast(_FOUND))
 
 
 def number_tokens(text: Column) -> Column:
     """Numbers of two digits or more, or with a point or percent sign, without commas."""
-    found = F.filter(F.regexp_extract_all(text, F.lit(P.NUMBER), F.lit(0)), lambda n: (F.length(F.regexp_replace(n, r"(?U)\D", "")) >= 2) | n.contains(".") | n.contains("%"))
-    return F.transform(found, lambda n: F.translate(n, ",_", ""))
+    return F.transform(F.filter(F.regexp_extract_all(text, F.lit(P.NUMBER), F.lit(0)), _tells), lambda n: F.translate(n, ",_", ""))
+
+
+def _tells(number: Column) -> Column:
+    return (F.length(F.regexp_replace(number, r"(?U)\D", "")) >= 2) | number.contains(".") | number.contains("%")
+
+
+def _unsourced(x: Column) -> Column:
+    """W013 for a line: the numbers that neither stand in the source nor are spelled there."""
+    gaps, numbers = F.split(x["text"], P.NUMBER, -1), F.regexp_extract_all(x["text"], F.lit(P.NUMBER), F.lit(0))
+    before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(numbers, F.lit(1), i), F.lit(0), lambda n, g: n + F.length(g))
+    placed = F.transform(numbers, lambda n, i: F.struct(n.alias("n"), (before(i) + 1).alias("col"), F.translate(n, ",_", "").alias("plain")))
+    missing = F.filter(placed, lambda p: _tells(p["n"]) & ~F.contains(F.col("source_plain"), p["plain"]) & ~F.array_contains("source_forms", p["plain"]))
+    found = F.transform(missing, lambda p: _found("W013", F.lit(True), x["line"], p["col"], p["n"])).cast(_FOUND)
+    checked = F.col("source_plain").isNotNull() & ~x["marker"] & x["text"].rlike(r"[0-9]")
+    return F.when(checked, found).otherwise(F.array().cast(_FOUND))
+
+
+def findings(scripts: DataFrame) -> DataFrame:
+    """(script_id, findings) of scripts (script_id, text and, if there, source_text): an array in the order line,
+    column, rule of (line, col, rule, key, detail). A null text is empty; a null source_text checks no numbers."""
+    sourced = "source_text" in scripts.columns
+    rows = scripts.select("script_id", "text", *(["source_text"] if sourced else []))
+    if sourced:
+        rows = rows.withColumn("source_plain", F.translate("source_text", ",_", "")).withColumn("source_forms", kernels.number_forms("source_text"))
+    rows = with_chapters(with_paragraphs(with_lines(frontmatter(rows))))
+    meta, two, first = F.col("meta"), F.lit(2), F.lit(1)
+    edition_at = F.greatest(F.coalesce(F.array_position(F.transform("all_lines", lambda x: x.rlike(P.EDITION_LINE)), F.lit(True)), F.lit(1)), F.lit(1))
+    sound = F.col("fault").isNull()
+    unknown = lambda key, known: sound & ~chosen(meta, key).isin(*known)
+    total = F.aggregate("chapters", F.lit(0), lambda n, c: n + c["words"])
+    edition = F.when(sound, chosen(meta, "edition")).otherwise("verbatim")
+    budget = lambda at: F.coalesce(*[F.when(edition == e, F.lit(b[at])) for e, b in P.BUDGETS.items()])
+    told = F.concat(F.lit("'"), edition, F.lit("' has "), total, F.lit(" words (budget "), budget(0))
+    some = F.size("chapters") > 0
+    script = _kept(
+        [
+            _found("S001", F.col("fault") == "missing", first),
+            _found("S001y", ~sound & (F.col("fault") != "missing"), first, 1, F.col("fault")),
+            _found("S002", sound & ~is_first_version(meta), two),
+            _found("S003", sound & (F.trim(chosen(meta, "title")) == ""), two),
+            _found("S001a", unknown("kind", P.KINDS), two, 1, chosen(meta, "kind")),
+            _found("S001b", unknown("edition", P.EDITIONS), edition_at, 1, chosen(meta, "edition")),
+            _found("S001c", unknown("producer", P.PRODUCERS), two, 1, chosen(meta, "producer")),
+            _found("S004", ~some, F.col("head") + 1),
+            _found("W011", some & (total > budget(1)), edition_at, 1, told),
+            _found("W012", some & (total < budget(2)) & (total > 0), edition_at, 1, told),
+        ]
+    )
+    chapter = lambda c: _kept([_found("S005", F.size(c["paragraphs"]) == 0, c["line"]), _found("W008", c["words"] > P.CHAPTER_WORDS, c["line"], 1, c["words"])])
+    long = lambda p: (p["words"] > P.SENTENCE_WORDS) & F.exists(sentences(p["text"]), lambda s: word_count(s) > P.SENTENCE_WORDS)
+    block = lambda p: _kept([_found("W009", p["words"] > P.PARAGRAPH_WORDS, p["line"], 1, p["words"]), _found("W010", long(p), p["line"])])
+    spoken = F.filter("paragraphs", lambda p: p["chapter"] > 0)
+    parts = [script, *(F.flatten(F.transform(rows_, f)) for rows_, f in (("lines", line_findings), ("chapters", chapter), (spoken, block)))]
+    if sourced:
+        parts.append(F.flatten(F.transform("lines", _unsourced)))
+    return rows.select("script_id", F.array_sort(F.concat(*parts)).alias("findings"))
+
+
+def _named(at: int, key: Column) -> Column:
+    known = F.create_map(*[F.lit(x) for k, row in P.FINDINGS.items() for x in (k, row[at])])
+    return F.element_at(known, key)
 
 
 def lint(scripts: DataFrame) -> DataFrame:
-    """All findings of scripts (script_id, text): script_id, line, rule, severity, col."""
-    lines = script_lines(scripts)
-    columns = ["script_id", "line", "rule", "severity", "col"]
-    return line_findings(lines).select(columns).unionByName(block_findings(lines).select(columns)).unionByName(meta_findings(scripts).select(columns))
+    """All findings of scripts as rows: script_id, nth (from 1, by line, column and rule), line, col, rule, severity,
+    message and hint."""
+    # The outer form: for an inner one the optimizer would evaluate the whole array again as a filter below it.
+    rows = findings(scripts).select("script_id", F.posexplode_outer("findings").alias("nth", "f")).where("nth IS NOT NULL")
+    message = F.replace(_named(1, F.col("f.key")), F.lit("{}"), F.col("f.detail"))
+    return rows.select("script_id", (F.col("nth") + 1).alias("nth"), "f.line", "f.col", "f.rule", _named(0, F.col("f.key")).alias("severity"), message.alias("message"), _named(2, F.col("f.key")).alias("hint"))
+
+
+def gate(scripts: DataFrame, strict: bool = False) -> DataFrame:
+    """(script_id, errors, warnings, ok, structural, residue): a script fails on an error, or with `strict` on any
+    finding; structural errors refuse to render, residue is cleaned when it is planned. Rules by name, comma-joined."""
+    rows = findings(scripts)
+    rules = lambda letter: F.array_join(F.array_sort(F.array_distinct(F.transform(F.filter("findings", lambda f: f["rule"].startswith(letter)), lambda f: f["rule"]))), ",")
+    warnings = F.size(F.filter("findings", lambda f: f["rule"].startswith("W")))
+    errors = F.size("findings") - warnings
+    return rows.select("script_id", errors.alias("errors"), warnings.alias("warnings"), (((errors == 0) & (warnings == 0)) if strict else (errors == 0)).alias("ok"), rules("S").alias("structural"), rules("R").alias("residue"))
+
+
+def repair_set(found: DataFrame, under_budget: bool = False) -> DataFrame:
+    """The findings (rows of `lint`) that a writer is asked to repair: errors, numbers without a source, too many words,
+    and with `under_budget` too few."""
+    rules = P.REPAIRED_RULES + (("W012",) if under_budget else ())
+    return found.where((F.col("severity") == "error") | F.col("rule").isin(*rules))

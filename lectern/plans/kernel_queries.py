@@ -10,23 +10,11 @@ from pyspark.sql import functions as F
 from lectern.functions import kernels
 from lectern.functions import text as X
 from lectern.operators import config, layout, normalizing
-from lectern.plans.text_queries import LINES, WORDS
+from lectern.plans.text_queries import LINES, WORDS, registry
 from lectern.session import table
 from lectern.streaming import progress as stream
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with its DuckDB twin."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 @query()

@@ -5,21 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import labels as L
+from lectern.plans.text_queries import registry
 from lectern.session import table
 
-QUERIES, ORACLE = {}, {}
-
-
-def query(sql: str | None = None):
-    """Registers a query under its name, with its DuckDB twin."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
+QUERIES, ORACLE, query = registry()
 
 
 @query("""WITH s AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN url WHEN 1 THEN 'docs/' || page_id || '.PDF' WHEN 2 THEN 'note:2024/' || page_id ELSE 'notes/' || page_id || '.md' END AS source FROM pages)

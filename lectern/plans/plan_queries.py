@@ -8,26 +8,14 @@ from pyspark.sql import functions as F
 from lectern.functions import patterns as P
 from lectern.functions import text as X
 from lectern.operators import catalog, gates, packing, pricing, progress, signal
-from lectern.plans.text_queries import SENTENCES, WORDS
+from lectern.plans.text_queries import SENTENCES, WORDS, registry
 from lectern.session import table
 
-QUERIES, ORACLE = {}, {}
+QUERIES, ORACLE, query = registry()
 MODEL, DAY = "gemini-3.8-flash-tts", "2026-11-26"
 CHARS, TARGET = P.LIMITS["gemini"]
 
 
-def query(sql: str | None = None):
-    """Registers a query under its name, with its DuckDB twin."""
-
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _packed(source: str, key: str) -> str:
     """DuckDB: the chunk of every unit, by a recursive walk over the units of each key."""
     return f"""

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
@@ -10,19 +9,23 @@ from lectern.functions import text as X
 from lectern.operators import linting
 from lectern.session import table
 
-QUERIES, ORACLE = {}, {}
+def registry():
+    """A table of queries, one of their DuckDB twins, and the decorator that adds to both."""
+    queries, oracle = {}, {}
 
+    def query(sql: str | None = None):
+        def add(f):
+            queries[f.__name__] = f
+            if sql:
+                oracle[f.__name__] = sql
+            return f
 
-def query(sql: str | None = None):
-    """Registers a query under its name, with its DuckDB twin."""
+        return add
 
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
+    return queries, oracle, query
 
-    return add
+
+QUERIES, ORACLE, query = registry()
 
 
 #: DuckDB forms of the helpers.
@@ -31,11 +34,6 @@ SENTENCES = r"list_filter(string_split(regexp_replace(trim({0}, e' \n\t\r'), '([
 LINES = "(SELECT doc_id, generate_subscripts(p, 1) AS line, unnest(p) AS text FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line", "text")).withColumn("line", F.col("line") + 1)
-
-
 @query(f"SELECT doc_id, {WORDS.format('text')} AS words FROM documents")
 def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.word_count(F.col("text")).alias("words"))
@@ -48,27 +46,6 @@ def sentence_stats(spark, sf_dir):
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("documents"), F.sum("n").alias("sentences"), F.max("n").alias("most"))
 
 
-@query(f"""SELECT doc_id, min(line) AS first_line, count(*) AS lines, sum(words) AS words FROM
-    (SELECT doc_id, line, {WORDS.format('text')} AS words, line - row_number() OVER (PARTITION BY doc_id ORDER BY line) AS run
-     FROM {LINES} WHERE trim(text) <> '') GROUP BY doc_id, run HAVING sum(words) > {P.PARAGRAPH_WORDS}""")
-def paragraph_islands(spark, sf_dir):
-    rows = _lines(spark, sf_dir).where("trim(text) <> ''").withColumn("words", X.word_count(F.col("text")))
-    run = F.col("line") - F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))
-    runs = rows.withColumn("run", run).groupBy("doc_id", "run").agg(F.min("line").alias("first_line"), F.count(F.lit(1)).alias("lines"), F.sum("words").alias("words"))
-    return runs.where(F.col("words") > P.PARAGRAPH_WORDS).drop("run")
-
-
-@query(f"""SELECT doc_id, line FROM {LINES} WHERE len(list_filter({SENTENCES.format('text')}, lambda s: {WORDS.format('s')} > {P.SENTENCE_WORDS})) > 0""")
-def long_sentences(spark, sf_dir):
-    return _lines(spark, sf_dir).where(F.exists(X.sentences(F.col("text")), lambda s: X.word_count(s) > P.SENTENCE_WORDS)).select("doc_id", "line")
-
-
-@query(f"SELECT conv_id, turn, {WORDS.format('text')} AS words FROM conversations WHERE {WORDS.format('text')} > 100")
-def long_chapters(spark, sf_dir):
-    """Chapters (turns) over a word limit, set low enough for the table's short turns."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", X.word_count(F.col("text")).alias("words")).where("words > 100")
-
-
 @query(f"""WITH b(edition, over_words, under_words) AS (VALUES {", ".join(f"('{e}', {b[1]}, {b[2]})" for e, b in P.BUDGETS.items())}),
     c AS (SELECT conv_id, sum({WORDS.format('text')}) AS words FROM conversations GROUP BY conv_id)
     SELECT conv_id, edition, words, CASE WHEN words > over_words THEN 'W011' WHEN words < under_words AND words > 0 THEN 'W012' END AS rule FROM c, b""")
@@ -81,58 +58,6 @@ def budget_check(spark, sf_dir):
     return rows.select("conv_id", F.col("b.edition").alias("edition"), "words", rule.alias("rule"))
 
 
-@query(f"SELECT doc_id, line, strpos(text, '|') AS col FROM {LINES} WHERE contains(text, '|')")
-def lint_pipe_lines(spark, sf_dir):
-    return _lines(spark, sf_dir).where("contains(text, '|')").select("doc_id", "line", F.instr("text", "|").alias("col"))
-
-
-@query(f"""SELECT doc_id, line FROM {LINES} WHERE contains(text, '**') OR contains(text, '__') OR contains(text, '~~')""")
-def lint_emphasis(spark, sf_dir):
-    return _lines(spark, sf_dir).where("contains(text, '**') OR contains(text, '__') OR contains(text, '~~')").select("doc_id", "line")
-
-
-@query(rf"""SELECT doc_id, line, lower(sha) AS sha FROM
-    (SELECT doc_id, line, regexp_extract(text, '(^|[^0-9A-Za-z_\x80-\x{{10FFFF}}])([0-9a-fA-F]{{7,64}})($|[^0-9A-Za-z_\x80-\x{{10FFFF}}])', 2) AS sha FROM {LINES})
-    WHERE regexp_matches(sha, '[a-fA-F]')""")
-def lint_sha(spark, sf_dir):
-    rows = _lines(spark, sf_dir).withColumn("sha", F.regexp_extract("text", P.SHA, 0))
-    return rows.where(F.col("sha").rlike("[a-fA-F]")).select("doc_id", "line", F.lower("sha").alias("sha"))
-
-
-@query(r"SELECT page_id, len(regexp_extract_all(html, 'https?://\S+|www\.\S+')) AS urls FROM pages WHERE regexp_matches(html, 'https?://\S+|www\.\S+')")
-def lint_urls(spark, sf_dir):
-    rows = table(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit(r"https?://\S+|www\.\S+"), F.lit(0))).alias("urls"))
-    return rows.where("urls > 0")
-
-
-def _scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as scripts: a turn is a chapter under its role's heading."""
-    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("## "), "role", F.lit("\n\n"), "text").alias("part"))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "part"))), lambda x: x["part"]), "\n\n")
-    front = "---\nnarration: 1\ntitle: Talk\nkind: article\nedition: brief\nproducer: human\n---\n"
-    return turns.groupBy(F.col("conv_id").alias("script_id")).agg(F.concat(F.lit(front), body).alias("text"))
-
-
-@query()
-def lint_scripts(spark, sf_dir):
-    """All lint rules over conversations as scripts."""
-    return linting.lint(_scripts(spark, sf_dir))
-
-
-@query()
-def lint_all_summary(spark, sf_dir):
-    """Findings by rule over documents as scripts without frontmatter."""
-    found = linting.lint(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("script_id"), "text"))
-    return found.groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("script_id").alias("scripts"))
-
-
-@query(f"""SELECT lang, source, grouping_id(lang, source) AS level, count(*) AS lines FROM
-    (SELECT doc_id, text AS line_text FROM {LINES}) JOIN documents USING (doc_id) WHERE contains(line_text, '|') GROUP BY CUBE (lang, source)""")
-def finding_rollup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", "source", F.explode(F.split("text", "\n", -1)).alias("text")).where("contains(text, '|')")
-    return docs.cube("lang", "source").agg(F.grouping_id().alias("level"), F.count(F.lit(1)).alias("lines"))
-
-
 _TOKENS = r"list_transform(list_filter(regexp_extract_all(text, '\d[\d,]*(?:\.\d+)?%?'), lambda n: length(regexp_replace(n, '\D', '', 'g')) >= 2 OR contains(n, '.') OR contains(n, '%')), lambda n: replace(n, ',', ''))"
 
 
@@ -142,15 +67,6 @@ def number_tokens(spark, sf_dir):
     return rows.groupBy("doc_id", "number").agg(F.count(F.lit(1)).alias("times"))
 
 
-@query(f"""WITH n AS (SELECT DISTINCT page_id, n AS number FROM (SELECT page_id, unnest({_TOKENS.replace("text", "html")}) AS n FROM pages)),
-    known AS (SELECT DISTINCT unnest({_TOKENS}) AS number FROM documents) SELECT page_id, number FROM n ANTI JOIN known USING (number)""")
-def number_fidelity(spark, sf_dir):
-    """Numbers of pages that no document has: the anti join of script numbers and source numbers."""
-    numbers = table(spark, sf_dir, "pages").select("page_id", F.explode(linting.number_tokens(F.col("html"))).alias("number")).distinct()
-    known = table(spark, sf_dir, "documents").select(F.explode(linting.number_tokens(F.col("text"))).alias("number")).distinct()
-    return numbers.join(known, "number", "left_anti").select("page_id", "number")
-
-
 @query("""SELECT doc_id FROM documents SEMI JOIN (SELECT DISTINCT split_part(text, chr(10), 1) AS first_line FROM benchmark) b ON contains(text, first_line)
     """.replace("ON contains(text, first_line)", "ON split_part(text, chr(10), 1) = first_line") + " UNION SELECT doc_id FROM labels WHERE toxic = 1")
 def contamination_semi(spark, sf_dir):
