@@ -124,3 +124,9 @@ def without_markup(text: str | None) -> tuple[str, list[str]]:
 @F.pandas_udf(T.StructType().add("text", "string").add("touched", "string"))
 def cleaned_markup(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(c, ",".join(t)) for c, t in text.map(without_markup)], columns=["text", "touched"])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType().add("text", "string").add("touched", "string")))
+def cleaned_all(texts: pd.Series) -> pd.Series:
+    """`cleaned_markup` of every text of an array."""
+    return texts.map(lambda row: [{"text": c, "touched": ",".join(t)} for c, t in map(without_markup, () if row is None else row)])

@@ -8,6 +8,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _FRONT = re.compile(r"\A---[ \t]*\n.*?\n---[ \t]*(?:\n|\Z)", re.S)
 _ITEM = re.compile(r"^(\s*)(?:[-*+]|\d+[.)])\s+(.*)$")
@@ -15,9 +16,11 @@ _DELIMITER = re.compile(r"^\s*\|?\s*:?-+:?\s*(?:\|\s*:?-+:?\s*)*\|?\s*$")
 _DEFINITION = re.compile(r"^\s*\[[^\]]+\]:\s*\S+.*$")
 
 
-def cells(line: str) -> list[str]:
-    """The cells of a table row."""
-    return [c.strip() for c in re.split(r"(?<!\\)\|", line.strip().removeprefix("|").removesuffix("|"))]
+def front_title(text: str | None) -> str:
+    """The title that a text's frontmatter gives, or an empty string."""
+    front = _FRONT.match((text or "").replace("\r\n", "\n"))
+    found = re.search(r"""(?m)^title[ \t]*:[ \t]+(?:"([^"\n]*)"|'([^'\n]*)'|([^\n#]*))""", front[0]) if front else None
+    return next((g for g in found.groups() if g), "").strip() if found else ""
 
 
 def blocks_of(text: str | None) -> list[tuple[int, str, int, str, str]]:
@@ -78,14 +81,19 @@ def blocks_of(text: str | None) -> list[tuple[int, str, int, str, str]]:
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, pos, line, type, level, info, text) of the Markdown of every document (doc_id, text)."""
+    """(doc_id, pos, line, type, level, info, text) of the Markdown of every document (doc_id, text and, if there, path); each
+    begins with a row of type `doc` that has the frontmatter's title as its text and the path (or notes.md) as its info."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [(d, k, *b) for d, t in zip(frame["doc_id"], frame["text"], strict=True) for k, b in enumerate(blocks_of(t))]
+            rows = []
+            for d, t, p in zip(frame["doc_id"], frame["text"], frame["path"], strict=True):
+                rows.append((d, -1, 0, "doc", 0, p or "notes.md", front_title(t)))
+                rows += [(d, k, *b) for k, b in enumerate(blocks_of(t))]
             yield pd.DataFrame(rows, columns=["doc_id", "pos", "line", "type", "level", "info", "text"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, pos int, line int, type string, level int, info string, text string")
+    path = F.col("path") if "path" in docs.columns else F.lit("notes.md").alias("path")
+    return docs.select("doc_id", "text", path).mapInPandas(run, "doc_id long, pos int, line int, type string, level int, info string, text string")
 
 
 class _Walker(HTMLParser):

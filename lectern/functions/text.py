@@ -87,6 +87,8 @@ def file_title(path: Column) -> Column:
 
 def pronounced(text: Column, lexicon: dict[str, str]) -> Column:
     """Whole words replaced by their spoken forms in one pass, longest first, so that no replacement is replaced."""
+    if not lexicon:
+        return text
     terms = sorted(lexicon, key=len, reverse=True)
     pattern = r"(?U)(?<!\w)(" + "|".join(re.escape(t) for t in terms) + r")(?!\w)"
     known = F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])

@@ -34,20 +34,25 @@ def fit(unit: Column, max_chars: int) -> Column:
 
 
 def pack(units: Column, target_words: int, max_chars: int) -> Column:
-    """Chunks: units joined by a blank line until the next would exceed the words or characters allowed."""
-    zero = F.struct(F.array().cast("array<string>").alias("done"), F.array().cast("array<string>").alias("open"), F.lit(0).alias("words"), F.lit(0).alias("chars"))
-
-    def step(s: Column, unit: Column) -> Column:
-        words, gap = word_count(unit), F.when(F.size(s["open"]) > 0, 2).otherwise(0)
-        full = (F.size(s["open"]) > 0) & ((s["words"] + words > target_words) | (s["chars"] + F.length(unit) + gap > max_chars))
-        closed = F.concat(s["done"], F.array(F.array_join(s["open"], "\n\n")))
-        return F.when(
-            full, F.struct(closed.alias("done"), F.array(unit).alias("open"), words.alias("words"), F.length(unit).alias("chars"))
-        ).otherwise(
-            F.struct(s["done"].alias("done"), F.concat(s["open"], F.array(unit)).alias("open"), (s["words"] + words).alias("words"), (s["chars"] + F.length(unit) + gap).alias("chars"))
+    """Chunks: units joined by a blank line until the next would exceed the words or characters allowed.
+
+    The fold carries two numbers and the places at which chunks begin; texts are only joined at its end."""
+    sizes = F.transform(units, lambda u: F.struct(word_count(u).alias("words"), F.length(u).alias("chars")))
+    zero = F.struct(F.array().cast("array<int>").alias("starts"), F.lit(0).alias("at"), F.lit(0).alias("words"), F.lit(0).alias("chars"))
+
+    def step(s: Column, u: Column) -> Column:
+        full = (s["at"] == 0) | (s["words"] + u["words"] > target_words) | (s["chars"] + u["chars"] + 2 > max_chars)
+        return F.struct(
+            F.when(full, F.concat(s["starts"], F.array(s["at"]))).otherwise(s["starts"]).alias("starts"),
+            (s["at"] + 1).alias("at"),
+            (F.when(full, 0).otherwise(s["words"]) + u["words"]).alias("words"),
+            (F.when(full, 0).otherwise(s["chars"] + 2) + u["chars"]).alias("chars"),
         )
 
-    return F.aggregate(units, zero, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.array_join(s["open"], "\n\n")))).otherwise(s["done"]))
+    ends = lambda starts: F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(units)))
+    joined = lambda a, b: F.array_join(F.slice(units, a + 1, b - a), "\n\n")
+    found = F.aggregate(sizes, zero, step, lambda s: s["starts"])
+    return F.when(F.size(units) > 0, F.zip_with(found, ends(found), joined)).otherwise(F.array().cast("array<string>"))
 
 
 def paragraphs(text: Column) -> Column:

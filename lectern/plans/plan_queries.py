@@ -46,11 +46,11 @@ walk AS (SELECT {key}, n, unit, w, c, 1 AS chunk FROM units WHERE n = 1 UNION AL
 def doc_plan(spark, sf_dir):
     """The flagship: words, sentences, chunks, seconds at 150 words a minute, and cost on a day, of every document."""
     text = F.col("text")
-    words = X.word_count(text)
-    seconds = words * 60.0 / P.WORDS_PER_MINUTE
+    seconds = F.col("words") * 60.0 / P.WORDS_PER_MINUTE
     rate = pricing.rate_on(MODEL, F.lit(DAY).cast("date"))
-    return table(spark, sf_dir, "documents").select(
-        "doc_id", words.alias("words"), F.size(X.sentences(text)).alias("sentences"), F.size(packing.chunks(text, TARGET, CHARS)).alias("chunks"),
+    counted = table(spark, sf_dir, "documents").select("doc_id", "text", X.word_count(text).alias("words"))
+    return counted.select(
+        "doc_id", "words", F.size(X.sentences(text)).alias("sentences"), F.size(packing.chunks(text, TARGET, CHARS)).alias("chunks"),
         F.round(seconds, 6).alias("est_seconds"), F.round(pricing.cost(rate, seconds), 6).alias("est_cost"),
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import patterns as P
-from lectern.operators import linting, scripts
+from lectern.operators import linting, normalizing, planning, scripts
 from lectern.plans.text_queries import SENTENCES, WORDS, registry
 from lectern.session import table
 
@@ -180,3 +180,146 @@ def script_roundtrip(spark, sf_dir):
     """Scripts parsed, written and parsed again; what is written the second time."""
     once = scripts.serialised(scripts.parsed(talks(spark, sf_dir)))
     return scripts.serialised(scripts.parsed(once)).select("script_id", F.sha2("text", 256).alias("script_sha256"))
+
+
+_MARKDOWN = """# Title
+
+Intro *text* with `code_name` and `src/a.py`, see [the docs](http://d) at http://x $a+b$ note[^1].
+
+## First
+
+- item one:
+- [x] done item
+- what?
+
+| a | b | c |
+|---|---|---|
+| x | y |  |
+| | z | w |
+
+| only |
+|---|
+| v |
+
+```python
+print(1)
+```
+
+```mermaid
+graph TD
+```
+
+    indented code
+
+<!-- hidden -->
+
+[^1]: the note
+
+## Sources
+
+gone `x`
+
+## Sources of power
+
+gone too
+
+# Second
+
+### Sub:
+
+![an image of a cat](u) ![image](u) End.
+
+$$
+x = 1
+$$
+
+| h1 | h2 | h3 | h4 | h5 |
+|---|---|---|---|---|
+| 1 | 2 | 3 | 4 | 5 |
+
+| e | f |
+|---|---|
+"""
+_SOURCES = [(1, _MARKDOWN, None), (2, None, "a/my_notes-x.md"), (3, "```\nonly\n```", None), (4, "---\ntitle: Front\n---\n# Head\n\np", None)]
+_SPOKEN = [
+    (1, "Title", 0, "Title", "Intro text with code name and, see the docs at note."), (1, "Title", 1, "First", "item one:."), (1, "Title", 1, "First", "done item."),
+    (1, "Title", 1, "First", "what?"), (1, "Title", 1, "First", "x: b y."), (1, "Title", 1, "First", "b z, c w."), (1, "Title", 1, "First", "v."),
+    (1, "Title", 2, "Second", "Sub:."), (1, "Title", 2, "Second", "Figure: an image of a cat. End."),
+    (1, "Title", 2, "Second", "The table with columns h1, h2, h3, h4, h5 has 1 rows; see the written report for details."),
+    (2, "My Notes X", 0, "My Notes X", "No spoken content found."), (3, "Notes", 0, "Notes", "No spoken content found."), (4, "Front", 1, "Head", "p"),
+]
+_OMITTED = [
+    (1, 3, "math", "a+b"), (1, 3, "footnote", "footnote"), (1, 20, "fence", "python block: print(1)"), (1, 24, "mermaid", "graph TD"), (1, 28, "fence", "indented code block: indented code"),
+    (1, 30, "html_comment", "<!-- hidden -->"), (1, 32, "footnote", "footnote definition"), (1, 34, "sources_section", "Sources"), (1, 38, "sources_section", "Sources of power"),
+    (1, 48, "math", "x = 1"), (1, 52, "large_table", "1 rows x 5 columns"), (1, 56, "fence", "empty table"), (3, 1, "fence", "code block: only"),
+]
+
+
+def _values(rows: list[tuple]) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in row) + ")" for row in rows)
+
+
+def _sources(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(_SOURCES, "doc_id long, text string, path string")
+
+
+@query(f"SELECT * FROM (VALUES {_values(_SPOKEN)}) AS e(doc_id, doc_title, chapter, title, text)")
+def normalize_fixture(spark, sf_dir):
+    """Every rule of normalising, by hand."""
+    return normalizing.normalised(_sources(spark))[0].select("doc_id", "doc_title", "chapter", "title", "text")
+
+
+@query(f"SELECT * FROM (VALUES {_values(_OMITTED)}) AS e(doc_id, line, type, detail)")
+def omissions_fixture(spark, sf_dir):
+    return normalizing.normalised(_sources(spark))[1]
+
+
+@query("SELECT * FROM (VALUES (1, 0), (2, 0), (3, 0), (4, 0)) AS e(script_id, errors)")
+def normalize_lints_clean(spark, sf_dir):
+    """Normalised sources are scripts without a structural error or residue."""
+    return linting.gate(normalizing.narrated(_sources(spark))).select("script_id", "errors")
+
+
+_ENGINE = ("gemini", "gemini-3.8-flash-tts", "Charon")
+
+
+def _planned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return planning.chunks(scripts.parsed(talks(spark, sf_dir)), *_ENGINE, lexicon={})
+
+
+_CHARS, _TARGET = P.LIMITS["gemini"]
+_PLANNED = f"""{_TURNS},
+    clean AS (SELECT conv_id, turn, i, trim(regexp_replace(paragraph, '[ \t]{{2,}}', ' ', 'g')) AS paragraph FROM q),
+    numbered AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS chapter_index, role FROM conversations),
+    u0 AS (SELECT n.conv_id, chapter_index, role, i, CASE WHEN i IS NULL OR row_number() OVER (PARTITION BY n.conv_id, n.turn ORDER BY i) > 1 THEN coalesce(paragraph, role) ELSE role || chr(10) || chr(10) || paragraph END AS unit FROM numbered n LEFT JOIN clean USING (conv_id, turn)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY conv_id, chapter_index ORDER BY i) AS n, {WORDS.format('unit')} AS w, length(unit) AS c FROM u0),
+    walk AS (SELECT conv_id, chapter_index, role, n, unit, w, c, 1 AS chunk FROM u WHERE n = 1 UNION ALL
+        SELECT u.conv_id, u.chapter_index, u.role, u.n, u.unit, CASE WHEN k.w + u.w > {_TARGET} OR k.c + u.c + 2 > {_CHARS} THEN u.w ELSE k.w + u.w END,
+            CASE WHEN k.w + u.w > {_TARGET} OR k.c + u.c + 2 > {_CHARS} THEN u.c ELSE k.c + u.c + 2 END, CASE WHEN k.w + u.w > {_TARGET} OR k.c + u.c + 2 > {_CHARS} THEN k.chunk + 1 ELSE k.chunk END
+        FROM walk k JOIN u ON u.conv_id = k.conv_id AND u.chapter_index = k.chapter_index AND u.n = k.n + 1),
+    parts AS (SELECT conv_id, 1 AS phase, chapter_index, chunk, any_value(role) AS chapter, string_agg(unit, chr(10) || chr(10) ORDER BY n) AS text FROM walk GROUP BY conv_id, chapter_index, chunk
+        UNION ALL SELECT conv_id, 0, 0, 0, arg_min(role, turn), 'This is an AI-narrated audio edition of Talk.' FROM conversations GROUP BY conv_id
+        UNION ALL SELECT conv_id, 2, count(*) - 1, 0, arg_max(role, turn), 'That''s the end of this audio edition of Talk.' FROM conversations GROUP BY conv_id),
+    plan AS (SELECT conv_id AS script_id, row_number() OVER (PARTITION BY conv_id ORDER BY phase, chapter_index, chunk) - 1 AS index, chapter_index, chapter,
+        CASE phase WHEN 0 THEN 'intro' WHEN 1 THEN 'content' ELSE 'outro' END AS kind, {WORDS.format('text')} AS words, text FROM parts)"""
+
+
+@query(f"WITH RECURSIVE {_PLANNED} SELECT script_id, index, chapter_index, chapter, kind, words, sha256(text) AS text_sha256 FROM plan")
+def plan_chunks(spark, sf_dir):
+    """Conversations planned: intro, packed chapters and outro in one order."""
+    return _planned(spark, sf_dir).select("script_id", "index", "chapter_index", "chapter", "kind", "words", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"WITH RECURSIVE {_PLANNED} SELECT script_id, chapter_index, any_value(chapter) AS chapter, sum(words) AS words, count(*) AS chunks FROM plan GROUP BY script_id, chapter_index")
+def plan_chapters(spark, sf_dir):
+    return planning.chapter_plans(_planned(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {_PLANNED}, hit AS (SELECT DISTINCT text FROM plan WHERE script_id % 2 = 0)
+    SELECT script_id, 'Talk' AS title, sum(words) AS words, count(*) AS chunks, count(hit.text) AS cached, round(sum(words) * 0.4, 6) AS seconds, round(sum(words) * 0.4 * 0.0135 / 60, 6) AS usd
+    FROM plan LEFT JOIN hit USING (text) GROUP BY script_id""")
+def plan_rollup(spark, sf_dir):
+    """What the episodes take; the cache holds the chunks of every second one."""
+    planned = _planned(spark, sf_dir)
+    made = planning.rolled_up(planned, F.lit(0.0135), planned.where("script_id % 2 = 0").select("cache_key"))
+    return made.withColumn("seconds", F.round("seconds", 6)).withColumn("usd", F.round("usd", 6))
