@@ -5,8 +5,10 @@ documents: a block shift table skips positions at which no window can end, a suf
 windows that may end there, and a direct comparison confirms each occurrence. Many cursors advance at once,
 so every step is a numpy operation over one flat byte array.
 
-The benchmark is gathered in blocks of bounded size; each block is one pass over the documents, chained
-without a shuffle, so a larger benchmark costs passes and never memory.
+The benchmark is gathered in blocks of bounded size, one on the driver and in a worker at a time. All blocks but
+the last are jobs of their own, which write what they found by the text's digest, for texts that are hit alone; the
+last one joins that to the rows it may belong to. So a larger benchmark costs passes over the texts and not memory,
+and no pass rewrites the documents.
 
 Defined results: a null or wordless text has no words and no hits; items without a word are no items; the windows
 of an item with a null id hit, but it is not among the items found; equal item ids count once; repeated document
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.llm.textkit import FOLD, column_bytes, fold_words, row_chunks, small_batches
+from lectern.llm.textkit import FOLD, KeyFilter, column_bytes, fold_words, row_chunks, small_batches, stored
 
 WINDOW = 13
 #: Bytes of item text that one pass searches, and bytes of document text in one flat array.
@@ -190,6 +193,38 @@ def benchmark_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> It
         yield [(r.i, r.t) for r in part.toLocalIterator()], k == blocks - 1
 
 
+FOUND = T.StructType().add("ranges", "binary").add("items", T.ArrayType(T.StringType()))
+
+
+def _search(column: pa.Array, matcher: Matcher) -> tuple[list[int], list[np.ndarray], list[list[str]]]:
+    """Words, hit word ranges and item ids of every text of a column."""
+    words: list[int] = []
+    ranges: list[np.ndarray] = []
+    names: list[list[str]] = []
+    for docs in folded(column):
+        for all_, some in zip((words, ranges, names), matcher.search(docs), strict=True):
+            all_ += some
+    return words, ranges, names
+
+
+def _hits(docs: DataFrame, items: list[tuple[str | None, str | None]]) -> DataFrame:
+    """(tid, ranges, items) of the distinct texts that one block's windows hit, written to the shared folder."""
+    shared = docs.sparkSession.sparkContext.broadcast(Matcher(items))
+    out = T.StructType([T.StructField("tid", T.StringType()), *FOUND.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, ranges, names = _search(batch.column(1), shared.value)
+            hit = [k for k, r in enumerate(ranges) if len(r)]
+            tid = batch.column(0).take(pa.array(hit, pa.int64()))
+            yield pa.RecordBatch.from_arrays([tid, pa.array([ranges[k].tobytes() for k in hit], pa.binary()), pa.array([names[k] for k in hit], pa.list_(pa.string()))], names=out.fieldNames())
+
+    texts = docs.where("text IS NOT NULL").select(F.md5("text").alias("tid"), "text")
+    found = stored(texts.mapInArrow(run, out).dropDuplicates(["tid"]), "hits")
+    shared.unpersist()
+    return found
+
+
 def searched(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -198,38 +233,33 @@ def searched(
     finish: Callable[[pa.StructArray, list[int], list[int], list[list[str]]], list[pa.Array]],
     block_bytes: int,
 ) -> DataFrame:
-    """One pass over the documents for each block of items; the last hands the columns `keep`, with the words, the
-    hit words and the items found of each row, to `finish`, which makes the columns of `schema`."""
+    """Hands the columns `keep`, with the words, the hit words and the items found of each row, to `finish`, which
+    makes the columns of `schema`."""
     context = docs.sparkSession.sparkContext
     small_batches(docs.sparkSession)
-    found = T.StructType().add("ranges", "binary").add("items", T.ArrayType(T.StringType()))
-    frame = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col("text").alias("body"), F.lit(None).cast(found).alias("found"))
-    between = frame.schema
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")
+    frame = docs.select(row, F.col("text").alias("body"), F.lit(None).cast(T.ArrayType(FOUND)).alias("found"))
+    before: list[DataFrame] = []
     for items, last in benchmark_blocks(benchmark, block_bytes):
-        shared = context.broadcast(Matcher(items))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                words: list[int] = []
-                ranges: list[np.ndarray] = []
-                names: list[list[str]] = []
-                for docs_ in folded(batch.column(1)):
-                    n, r, i = shared.value.search(docs_)
-                    words += n
-                    ranges += r
-                    names += i
-                for k, old in enumerate(batch.column(2).to_pylist()):
-                    if old is not None:
-                        ranges[k] = np.concatenate([np.frombuffer(old["ranges"], np.int64).reshape(-1, 2), ranges[k]])
-                        names[k] = sorted({*old["items"], *names[k]})
-                if last:
-                    yield pa.RecordBatch.from_arrays(finish(batch.column(0), words, [covered(r) for r in ranges], names), names=schema.fieldNames())
-                else:
-                    parts = [pa.array([r.tobytes() for r in ranges], pa.binary()), pa.array(names, pa.list_(pa.string()))]
-                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.StructArray.from_arrays(parts, names=["ranges", "items"])], names=between.fieldNames())
-
-        frame = frame.mapInArrow(run, schema if last else between)
-    return frame
+        if not last:
+            before.append(_hits(docs, items))
+    if before:
+        every = reduce(DataFrame.unionByName, before).groupBy("tid").agg(F.collect_list(F.struct("ranges", "items")).alias("found"))
+        every = stored(every, "hits")
+        some, rest = KeyFilter(every, "tid").split(frame.drop("found").withColumn("tid", F.coalesce(F.md5("body"), F.lit(""))))
+        frame = some.join(every, "tid", "left").select("row", "body", "found").unionByName(rest.select("row", "body", F.lit(None).cast(T.ArrayType(FOUND)).alias("found")))
+    shared = context.broadcast(Matcher(items))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words, ranges, names = _search(batch.column(1), shared.value)
+            for k, old in enumerate(batch.column(2).to_pylist()):
+                if old:
+                    ranges[k] = np.concatenate([*(np.frombuffer(o["ranges"], np.int64).reshape(-1, 2) for o in old), ranges[k]])
+                    names[k] = sorted({*names[k], *(i for o in old for i in o["items"])})
+            yield pa.RecordBatch.from_arrays(finish(batch.column(0), words, [covered(r) for r in ranges], names), names=schema.fieldNames())
+
+    return frame.mapInArrow(run, schema)
 
 
 def is_contaminated(words: int, hit: int) -> bool:
