@@ -24,7 +24,7 @@ from functools import partial
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.textkit import stored
+from lectern.llm.textkit import KeyFilter, stored
 
 #: Characters on either side of an entity that are its context; documents a pair needs (1: any); degree that discloses.
 REACH, SUPPORT, DISCLOSURE = 1000, 1, 0.95
@@ -33,6 +33,7 @@ BROADCAST_TERMS = 100_000
 #: Documents of a term that may be taken from the contexts; so few that no key of that join is large.
 RARE = 100
 KINDS = ("email", "ip", "card", "phone")
+SPANS = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 #: Linear forms of the contract's patterns: possessive, and begun only where a run of local characters begins or
 #: the last match ended, since a run that fails from its start fails from everywhere within.
 PATTERNS = {
@@ -70,7 +71,7 @@ def _matches(text: Column, pattern: str, rank: int, kind: str, keep: Callable[[C
     """Array of (start, rank, end, kind, value) of the matches to keep: a match's start is the pieces and matches
     before it, summed. The fold carries a number for most matches and grows the array for the kept ones alone."""
     values, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+    empty = F.array().cast(SPANS)
     zero = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def step(state: Column, pair: Column) -> Column:
@@ -90,7 +91,7 @@ def _count(spans: Column, kind: str) -> Column:
 def base_spans(text: Column) -> Column:
     """Array of the valid base spans of all kinds, by start and then kind; a cheap test spares most texts the patterns."""
     need = {"email": F.instr(text, "@") > 0, "ip": text.rlike(r"[0-9]\.[0-9]"), "card": text.rlike("[0-9][\x20-]?[0-9][\x20-]?[0-9]"), "phone": text.rlike(r"\+[0-9]")}
-    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>")
+    empty = F.array().cast(SPANS)
     found = []
     for rank, kind in enumerate(KINDS):
         spans = _matches(text, PATTERNS[kind], rank, kind, partial(_valid, kind))
@@ -143,16 +144,24 @@ def disclosing_terms(found: DataFrame, seen: DataFrame, words: DataFrame, total:
     return pairs.join(counted, "term").where((F.col("n_e") < total) & (degree >= disclosure - 1e-9)).groupBy("term").agg(F.max(here).alias("here"))
 
 
+def _named(text: Column, base: Column, terms: Column) -> Column:
+    """The occurrences of `terms` in a text that overlap no base span."""
+    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    return F.filter(_matches(text, WORD, len(KINDS), "term", lambda v: F.array_contains(terms, F.lower(v))), free)
+
+
 def sanitised(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCLOSURE) -> DataFrame:
-    """`docs` (doc_id, text) with `spans_found`, all spans, and `sanitised`, the text with each span generalised
-    to its kind in brackets and disclosing terms removed; other columns of `docs` are left out."""
+    """Every row of `docs` as doc_id, text (null: empty), spans (base), spans_found (all) and sanitised, the text with
+    base spans generalised to their kind in brackets and disclosing terms removed; other columns are left out.
+
+    The base patterns run over all texts once. Texts that may hold a span (and, for a hash filter of bounded size, a few
+    more) are shuffled to meet what was found in them; all others pass as they are."""
     text = F.coalesce(F.col("text"), F.lit(""))
     # A row's own key, for equal ids may repeat: id and digest, the same for rows that are the same anyway.
     rows = docs.select("doc_id", text.alias("text")).withColumn("tid", F.md5("text"))
-    found = rows.withColumn("spans", base_spans(F.col("text")))
+    kept = stored(rows.select("tid", "text", base_spans(F.col("text")).alias("spans")).where(F.size("spans") > 0), "entities")
     total = docs.count()
     words = rows.select("tid", F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).where(F.length("term") > 2)
-    kept = stored(found.where(F.size("spans") > 0).select("tid", "text", "spans"), "entities")
     seen = stored(contexts(kept), "contexts")
     terms = stored(disclosing_terms(kept, seen, words, total, support, disclosure), "terms")
     here, wide = terms.where("here").select("term"), terms.where("NOT here").select("term")
@@ -160,13 +169,16 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, disclosure: float = DISCL
     held = seen.select("tid", "term").join(here, "term", "left_semi")
     if many:
         held = held.unionByName(words.join(F.broadcast(wide) if many <= BROADCAST_TERMS else wide, "term", "left_semi"))
-    joined = found.join(held.groupBy("tid").agg(F.collect_set("term").alias("terms")), "tid", "left")
-    base = F.col("spans")
-    free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    named = _matches(F.col("text"), WORD, len(KINDS), "term", lambda v: F.array_contains(F.col("terms"), F.lower(v)))
-    own = F.filter(named, free)
-    more = F.when(F.size("terms") > 0, own).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,value:string>>"))
-    return joined.withColumn("spans_found", F.array_sort(F.concat(base, more)))
+    held = held.groupBy("tid").agg(F.collect_set("term").alias("terms"))
+    known = stored(kept.select("tid", "spans").dropDuplicates(["tid"]).join(held, "tid", "full"), "found")
+    some, rest = KeyFilter(known, "tid").split(rows)
+    none = F.array().cast(SPANS)
+    met = some.join(known, "tid", "left").withColumn("spans", F.coalesce("spans", none))
+    more = F.when(F.size("terms") > 0, _named(F.col("text"), F.col("spans"), F.col("terms"))).otherwise(none)
+    met = met.withColumn("spans_found", F.array_sort(F.concat("spans", more))).drop("terms")
+    every = met.unionByName(rest.withColumn("spans", none).withColumn("spans_found", none))
+    clean = F.when(F.size("spans_found") > 0, sanitised_text(F.col("text"), F.col("spans_found"))).otherwise(F.col("text"))
+    return every.select("doc_id", "text", "spans", "spans_found", clean.alias("sanitised"))
 
 
 def sanitised_text(text: Column, spans: Column) -> Column:
@@ -182,7 +194,9 @@ def sanitised_text(text: Column, spans: Column) -> Column:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op7 over the whole documents table."""
+    """op7 over the whole documents table: the contract's columns, then how many terms were found and the digest of
+    the sanitised text."""
     rows = sanitised(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     counts = [_count(F.col("spans"), k).alias(f"n_{k}") for k in KINDS]
-    return rows.select("doc_id", *counts, F.sha2(_rendered(F.col("spans")), 256).alias("base_sha256"), _rendered(F.col("spans_found")).alias("spans"))
+    digests = [F.sha2(_rendered(F.col("spans")), 256).alias("base_sha256"), _rendered(F.col("spans_found")).alias("spans")]
+    return rows.select("doc_id", *counts, *digests, _count(F.col("spans_found"), "term").alias("n_term"), F.sha2("sanitised", 256).alias("sanitised_sha256"))
