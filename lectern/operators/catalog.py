@@ -13,7 +13,7 @@ def cache_plan(chunks: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFram
     return chunks.join(cache, "cache_key"), chunks.join(cache.select("cache_key"), "cache_key", "left_anti")
 
 
-def pruned(entries: DataFrame, limit: int, oldest: Column | None, shard: str | None = None) -> DataFrame:
+def pruned(entries: DataFrame, limit: int, oldest: Column | None) -> DataFrame:
     """Entries (key, bytes, last_used) with `removed`: the aged, and the oldest until what is left fits the limit.
 
     What stays is a suffix by age, so the test is whether the entries from this one to the newest exceed the

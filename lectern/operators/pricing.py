@@ -26,7 +26,7 @@ def rate_on(model: str, day: Column) -> Column:
 
 def priced(rows: DataFrame, prices: DataFrame, key: str) -> DataFrame:
     """`rows` (key, model, day) with the rate of the last entry not after the day, else the oldest, else 0."""
-    joined = rows.join(F.broadcast(prices), "model", "left")
+    joined = rows.join(prices, "model", "left")
     past = F.when(F.col("valid_from") <= F.col("day"), F.col("valid_from"))
     rate = F.coalesce(F.max_by("usd_per_minute", past), F.min_by("usd_per_minute", "valid_from"), F.lit(0.0))
     return joined.groupBy(key, "model", "day").agg(rate.alias("rate"))

@@ -11,7 +11,7 @@ from lectern.functions import kernels
 from lectern.functions import text as X
 from lectern.operators import config, layout, normalizing
 from lectern.plans.text_queries import LINES, WORDS, registry
-from lectern.session import table
+from lectern.session import shared_folder, table
 from lectern.streaming import progress as stream
 
 QUERIES, ORACLE, query = registry()
@@ -27,13 +27,15 @@ def number_forms(spark, sf_dir):
     return rows.select("p_partkey", "phrase", F.array_join(kernels.number_forms("phrase"), " ").alias("forms"))
 
 
-@query(r"""SELECT doc_id, sha256('{"engine":"gemini","model":"m","sample_rate":24000,"speed":1.0,"style":"","text":"' || replace(text, chr(10), '\n') || '","v":1,"voice":"Charon"}') AS cache_key
-    FROM documents WHERE regexp_full_match(text, '[\x0A\x20-\x7E]*') AND NOT contains(text, '"') AND NOT contains(text, '\')""")
+#: DuckDB: a text as a JSON string body with non-ASCII characters escaped, as far as the tables' characters go.
+_JSON = "array_to_string(list_transform(string_split(replace(replace(replace(text, '\\', '\\\\'), '\"', '\\\"'), chr(10), '\\n'), ''), lambda c: CASE WHEN c = chr(9) THEN '\\t' WHEN ord(c) > 65535 THEN '\\u' || printf('%04x', 55296 + (ord(c) - 65536) // 1024) || '\\u' || printf('%04x', 56320 + (ord(c) - 65536) % 1024) WHEN ord(c) > 126 OR ord(c) < 32 THEN '\\u' || printf('%04x', ord(c)) ELSE c END), '')"
+
+
+@query(f"""SELECT doc_id, sha256('{{"engine":"gemini","model":"m","sample_rate":24000,"speed":1.0,"style":"","text":"' || {_JSON} || '","v":1,"voice":"Charon"}}') AS cache_key FROM documents""")
 def cache_keys(spark, sf_dir):
-    """Keys of requests for plain ASCII texts, which SQL can spell too."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x0A\x20-\x7E]*\z") & ~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("\\")))
+    """Keys of requests for all texts."""
     one = [F.lit(x) for x in ("gemini", "m", "Charon", "")]
-    return docs.select("doc_id", kernels.cache_key(*one, F.lit(1.0), F.lit(24000), "text").alias("cache_key"))
+    return table(spark, sf_dir, "documents").select("doc_id", kernels.cache_key(*one, F.lit(1.0), F.lit(24000), "text").alias("cache_key"))
 
 
 @query()
@@ -155,6 +157,4 @@ def progress_stream(spark, sf_dir):
     """The streaming twin of progress_latest, run to the end of what is there."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     source = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"progress_{uuid.uuid4().hex}"
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    return stream.drained(stream.latest(source), name, "complete", f"{folder}/{name}")
+    return stream.drained(stream.latest(source), f"{shared_folder(spark)}/progress-{uuid.uuid4().hex}", "complete")

@@ -24,3 +24,13 @@ def session(master: str = "local[8]", app: str = "lectern", **conf: str) -> Spar
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The table `name` of the data folder `sf_dir`, read by Spark whatever the store."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, a local session has one of its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return "/tmp/checkpoints"

@@ -24,8 +24,15 @@ def latest(events: DataFrame) -> DataFrame:
     return state.agg(F.max_by(F.struct("event_id", "value"), F.struct("ts", "event_id")).alias("e")).select("run", "stage", F.col("e.event_id").alias("seq"), F.col("e.value").alias("value"))
 
 
-def drained(frame: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """All that is there, run to its end into a memory table: for reports and tests."""
-    query = frame.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drained(frame: DataFrame, folder: str, mode: str) -> DataFrame:
+    """All that is there, run to its end into a Parquet table under `folder`: in complete mode each batch replaces the
+    table, else it adds to it. Nothing is gathered on the driver, and a batch that is run again writes the same."""
+    spark, out = frame.sparkSession, f"{folder}/table"
+    spark.createDataFrame([], frame.schema).write.parquet(out)
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={number}")
+
+    query = frame.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return frame.sparkSession.table(name)
+    return spark.read.schema(frame.schema).parquet(out).select(*frame.columns)
