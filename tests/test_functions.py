@@ -154,7 +154,7 @@ def test_markdown_becomes_chapters_and_omissions(spark):
     every = spoken.orderBy("pos", "nth").collect()
     rows = [(r.title, r.text) for r in every if r.doc_id == 1]
     assert [(r.title, r.text) for r in every if r.doc_id != 1] == [("Notes", "No spoken content found.")] * 2
-    assert rows == [("Title", "Intro text with code_name."), ("First", "item one."), ("First", "item two."), ("First", "x: b y."), ("Last", "Sub."), ("Last", "End.")]
+    assert rows == [("Title", "Intro text with code name."), ("First", "item one."), ("First", "item two."), ("First", "x: b y."), ("Last", "Sub."), ("Last", "End.")]
     assert sorted(r.type for r in omitted.collect()) == ["fence", "html_comment", "sources_section"]
 
 
