@@ -26,16 +26,16 @@ def sentences(text: Column) -> Column:
     return F.filter(F.split(strip(text), r"(?U)(?<=[.!?])\s+"), lambda s: strip(s) != "")
 
 
-def slug(title: Column) -> Column:
-    """A file-name form of a title: at most 60 characters of a-z, 0-9 and single dashes; `episode` if none is left."""
+def slug(title: Column, otherwise: str = "episode") -> Column:
+    """A file-name form of a title: at most 60 characters of a-z, 0-9 and single dashes; `otherwise` if none is left."""
     dashed = F.trim(F.regexp_replace(F.lower(title), "[^a-z0-9]+", "-"), F.lit("-"))
-    cut = F.trim(F.substring(F.coalesce(F.nullif(dashed, F.lit("")), F.lit("episode")), 1, 60), F.lit("-"))
-    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("episode"))
+    cut = F.trim(F.substring(F.coalesce(F.nullif(dashed, F.lit("")), F.lit(otherwise)), 1, 60), F.lit("-"))
+    return F.coalesce(F.nullif(cut, F.lit("")), F.lit(otherwise))
 
 
-def keyed_slug(title: Column, key: Column) -> Column:
+def keyed_slug(title: Column, key: Column, otherwise: str = "episode") -> Column:
     """The slug with six hex digits of the key's SHA-256."""
-    return F.concat(slug(title), F.lit("-"), F.substring(F.sha2(key, 256), 1, 6))
+    return F.concat(slug(title, otherwise), F.lit("-"), F.substring(F.sha2(key, 256), 1, 6))
 
 
 def canonical_title(title: Column) -> Column:
