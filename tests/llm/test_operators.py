@@ -81,6 +81,21 @@ def test_classes_that_share_a_doc_id_each_keep_a_row(spark):
     assert op5_jaccard.near_duplicates(docs).columns == ["doc_id", "tid", "class_id", "n_links", "copy_id"]
 
 
+@pytest.mark.parametrize("rows", [1, 4, 1000])
+def test_components_with_hubs_of_every_size(spark, monkeypatch, rows):
+    monkeypatch.setattr("lectern.llm.components.HUB_ROWS", rows)
+    monkeypatch.setattr("lectern.llm.components.HUB_PARTS", 3)
+    r = np.random.default_rng(rows)
+    pairs = [(500, k) for k in range(501, 560)] + [(k, 700) for k in range(600, 640)] + r.integers(0, 90, (60, 2)).tolist()
+    root = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in pairs:
+        for a, b in pairs:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    got = components(spark.createDataFrame([tuple(map(int, p)) for p in pairs], "a long, b long"))
+    assert {x.node: x.root for x in got.collect()} == root and got.count() == len(root)
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
