@@ -78,24 +78,29 @@ def _tells(number: Column) -> Column:
     return (F.length(F.regexp_replace(number, r"(?U)\D", "")) >= 2) | number.contains(".") | number.contains("%")
 
 
-def _unsourced(x: Column) -> Column:
-    """W013 for a line: the numbers that neither stand in the source nor are spelled there."""
+def _unsourced(x: Column, spelled: bool) -> Column:
+    """W013 for a line: the numbers that neither stand in the source nor, if `spelled` counts, are spelled there."""
     gaps, numbers = F.split(x["text"], P.NUMBER, -1), F.regexp_extract_all(x["text"], F.lit(P.NUMBER), F.lit(0))
     before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i + 1), F.lit(0), lambda n, g: n + F.length(g)) + F.aggregate(F.slice(numbers, F.lit(1), i), F.lit(0), lambda n, g: n + F.length(g))
     placed = F.transform(numbers, lambda n, i: F.struct(n.alias("n"), (before(i) + 1).alias("col"), F.translate(n, ",_", "").alias("plain")))
-    missing = F.filter(placed, lambda p: _tells(p["n"]) & ~F.contains(F.col("source_plain"), p["plain"]) & ~F.array_contains("source_forms", p["plain"]))
+    stands = lambda p: F.contains(F.col("source_plain"), p["plain"])
+    known = (lambda p: stands(p) | F.array_contains("source_forms", p["plain"])) if spelled else stands
+    missing = F.filter(placed, lambda p: _tells(p["n"]) & ~known(p))
     found = F.transform(missing, lambda p: _found("W013", F.lit(True), x["line"], p["col"], p["n"])).cast(_FOUND)
     checked = F.col("source_plain").isNotNull() & ~x["marker"] & x["text"].rlike(r"[0-9]")
     return F.when(checked, found).otherwise(F.array().cast(_FOUND))
 
 
-def findings(scripts: DataFrame) -> DataFrame:
+def findings(scripts: DataFrame, spelled: bool = True) -> DataFrame:
     """(script_id, findings) of scripts (script_id, text and, if there, source_text): an array in the order line,
-    column, rule of (line, col, rule, key, detail). A null text is empty; a null source_text checks no numbers."""
+    column, rule of (line, col, rule, key, detail). A null text is empty; a null source_text checks no numbers.
+    Without `spelled`, a number must stand in the source in digits."""
     sourced = "source_text" in scripts.columns
     rows = scripts.select("script_id", "text", *(["source_text"] if sourced else []))
     if sourced:
-        rows = rows.withColumn("source_plain", F.translate("source_text", ",_", "")).withColumn("source_forms", kernels.number_forms("source_text"))
+        rows = rows.withColumn("source_plain", F.translate("source_text", ",_", ""))
+    if sourced and spelled:
+        rows = rows.withColumn("source_forms", kernels.number_forms("source_text"))
     rows = with_chapters(with_paragraphs(with_lines(frontmatter(rows))))
     meta, two, first = F.col("meta"), F.lit(2), F.lit(1)
     edition_at = F.greatest(F.coalesce(F.array_position(F.transform("all_lines", lambda x: x.rlike(P.EDITION_LINE)), F.lit(True)), F.lit(1)), F.lit(1))
@@ -126,7 +131,7 @@ def findings(scripts: DataFrame) -> DataFrame:
     spoken = F.filter("paragraphs", lambda p: p["chapter"] > 0)
     parts = [script, *(F.flatten(F.transform(rows_, f)) for rows_, f in (("lines", line_findings), ("chapters", chapter), (spoken, block)))]
     if sourced:
-        parts.append(F.flatten(F.transform("lines", _unsourced)))
+        parts.append(F.flatten(F.transform("lines", lambda x: _unsourced(x, spelled))))
     return rows.select("script_id", F.array_sort(F.concat(*parts)).alias("findings"))
 
 
@@ -135,11 +140,11 @@ def _named(at: int, key: Column) -> Column:
     return F.element_at(known, key)
 
 
-def lint(scripts: DataFrame) -> DataFrame:
+def lint(scripts: DataFrame, spelled: bool = True) -> DataFrame:
     """All findings of scripts as rows: script_id, nth (from 1, by line, column and rule), line, col, rule, severity,
-    message and hint."""
+    message and hint; `spelled` as in `findings`."""
     # The outer form: for an inner one the optimizer would evaluate the whole array again as a filter below it.
-    rows = findings(scripts).select("script_id", F.posexplode_outer("findings").alias("nth", "f")).where("nth IS NOT NULL")
+    rows = findings(scripts, spelled).select("script_id", F.posexplode_outer("findings").alias("nth", "f")).where("nth IS NOT NULL")
     message = F.replace(_named(1, F.col("f.key")), F.lit("{}"), F.col("f.detail"))
     return rows.select("script_id", (F.col("nth") + 1).alias("nth"), "f.line", "f.col", "f.rule", _named(0, F.col("f.key")).alias("severity"), message.alias("message"), _named(2, F.col("f.key")).alias("hint"))
 

@@ -117,6 +117,12 @@ def test_each_lint_rule_finds_its_case_and_a_clean_script_none(spark):
     assert len(CASES) not in found
 
 
+def test_numbers_are_sourced_by_digits_or_unless_told_otherwise_by_words(spark):
+    rows = spark.createDataFrame([(1, "## A\n205 and 70 and 12", "two hundred and five, 69a8320, 12"), (2, "## A\n205", None)], "script_id int, text string, source_text string")
+    found = lambda **how: [(r.script_id, r.line, r.col) for r in linting.lint(rows, **how).where("rule = 'W013'").collect()]
+    assert found() == [] and found(spelled=False) == [(1, 2, 1), (1, 2, 9)]
+
+
 MARKDOWN = """# Title
 
 Intro *text* with `code_name`.

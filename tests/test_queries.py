@@ -49,6 +49,24 @@ def test_scans_are_pruned_and_filters_pushed(spark):
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan and plan.count("FileScan") == 1
 
 
+#: A code that without its 7 reads as the phrase "69 a" for 70, numbers spelled in their source, lines that look like
+#: frontmatter, and digits and blanks that are such only beyond ASCII.
+FIDELITY = [
+    "token 845d70e69a8320", "77 and 17, seventy-seven and 17", "a thousand 1,000 7,000 seven thousand", "fifty percent 57% 50%", "---\ntitle: 77\n---\n## A\n\n77", "1\u0663 7\u0663 \u0663\u0667 17\u0663",
+    "\u3000```77\n17", "\x0b```77\n17", " \t```77\n17\n```\n7.5", "7 7. 7% 0.7 7,7", "17_000\r\n77\r1", "plain 12", "", None,
+]
+
+
+def test_number_fidelity_equals_sql_on_codes_and_odd_lines(spark, tmp_path):
+    rows = [(n, t) for n, t in enumerate([*FIDELITY, "17"])] + [(len(FIDELITY), "77\n17"), (None, "77")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    connection = duckdb.connect()
+    connection.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = {(k, line): n for k, line, n in connection.sql(ORACLE["number_fidelity"]).fetchall()}
+    got = {(r.script_id, r.line): r.missing for r in QUERIES["number_fidelity"](spark, str(tmp_path)).collect()}
+    assert got == want and got[0, 1] == 1
+
+
 def test_entry_point_names_every_oracle():
     import __spark_entry__ as entry
 
